@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from sedimenta.llm import gif, lines, mixing, simhash, toxicity
+from sedimenta.llm import gif, lines, minhash, mixing, pieces, simhash, tokenids, toxicity
 
-_MODULES = (lines, mixing, toxicity, gif, simhash)
+_MODULES = (lines, tokenids, mixing, pieces, minhash, toxicity, gif, simhash)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -336,10 +336,18 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id. Rows with a null id stay (they can't be named)."""
-    lost = linked(docs, key, text, block).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_lost")).distinct()
-    lost = written(lost, "simhash-lost")
-    return docs.join(lost, F.col(key) == F.col("_lost"), "left_anti")
+    """``docs`` without the rows whose component has a smaller id, and of rows with one id the first.
+
+    Rows with a null id stay (they can't be named). Rows of one id but different texts count as that id's document.
+    """
+    rows = written(linked(docs, key, text, block).select(key, "component_id"), "simhash-linked")
+    lost = written(rows.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_lost")).distinct(), "simhash-lost")
+    kept = docs.join(lost, F.col(key) == F.col("_lost"), "left_anti")
+    again = written(rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again"), "simhash-again")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, F.col(key) == F.col("_again"), "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("_first")).select("_first.*")
+    return kept.join(again, F.col(key) == F.col("_again"), "left_anti").unionAll(twice)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ class Func(Pointer):
     @property
     def base(self):
         source = self.source.path if self.source is not None else LOADS[self.load]
+        if source[:1] and source[0].startswith("@"):  # a physical column is no place in the tree
+            source = ()
         return (*source, *self.namespace)
 
     def __repr__(self):

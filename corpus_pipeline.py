@@ -17,12 +17,12 @@ from sedimenta.llm.common import table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.scored(docs, toxicity.labels_of(spark, sf_dir)).filter("predicted = 0").select(docs.columns)
+    return toxicity.without_toxic(docs, toxicity.labels_of(spark, sf_dir))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.drop_lines(docs, F.col("source"))
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut = lines.drop_lines(docs, F.col("source"), counts=("_n_lines", "_n_dropped"))
+    return cut.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,16 +36,18 @@ def boilerplate(docs: DataFrame, site: Column, text: str = "text", ratio: float
     return bad.groupBy(per_line["site"].alias("site")).agg(F.collect_set("line").alias("bad"))
 
 
-def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped``."""
+def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``, plus the numbers of lines and of dropped lines under the names ``counts``."""
     # written, so that its true size decides between a broadcast and a shuffle (in which AQE splits hot sites)
-    bad = written(boilerplate(docs, site, text, ratio, min_pages), "boilerplate").toDF("_site", "_bad")
-    joined = docs.join(bad, site.eqNullSafe(F.col("_site")), "left")
+    bad = written(boilerplate(docs, site, text, ratio, min_pages), "boilerplate").toDF("_line_site", "_line_bad")
+    joined = docs.withColumn("_line_key", site).join(bad, F.col("_line_key").eqNullSafe(F.col("_line_site")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains("_bad", _hash(x))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_site", "_bad", "_kept")
+    kept = F.when(F.col("_line_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains("_line_bad", _hash(x))))
+    out = joined.withColumn("_line_kept", kept).withColumn("_line_all", lines)
+    n_all = F.when(F.col("_line_all").isNull(), 0).otherwise(F.size("_line_all")).cast("long")
+    n_kept = F.when(F.col("_line_all").isNull(), 0).otherwise(F.size("_line_kept")).cast("long")
+    cols = [F.array_join("_line_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in counts]
+    return out.select(*cols, n_all.alias(counts[0]), (n_all - n_kept).alias(counts[1]))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

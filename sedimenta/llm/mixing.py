@@ -88,29 +88,31 @@ def plan_of(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     """One row a source with all that decides how often its documents are taken."""
     goals = written(targets(sizes, weights, max_repeat), "mix-targets")
     edges = thresholds(sizes, goals)
-    plan = goals.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select("g.source", "source_size", "target", "base", F.col("left") > 0, "edge", "edge_taken").toDF("_source", "source_size", "target", "base", "some", "edge", "edge_taken")
-    return written(plan, "mix-plan")
+    plan = goals.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select("g.source", "source_size", "target", "base", F.col("left") > 0, "edge", "edge_taken")
+    # names that no table of documents has
+    return written(plan.toDF(*[f"_mix_{c}" for c in ("source", "source_size", "target", "base", "some", "edge", "edge_taken")]), "mix-plan")
 
 
 def repeats(hash_: Column, max_repeat: int = MAX_REPEAT) -> Column:
     """How often a row joined to its source's plan is taken."""
-    once = F.col("some") & (F.col("edge").isNull() | (hash_ < F.col("edge")) | ((hash_ == F.col("edge")) & F.col("edge_taken")))
-    return F.least(F.col("base") + F.when(once, 1).otherwise(0), F.lit(max_repeat)).cast("long")
+    edge = F.col("_mix_edge")
+    once = F.col("_mix_some") & (edge.isNull() | (hash_ < edge) | ((hash_ == edge) & F.col("_mix_edge_taken")))
+    return F.least(F.col("_mix_base") + F.when(once, 1).otherwise(0), F.lit(max_repeat)).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
     """One row a document: its size, its source's size and target, how often (``repeats``) and how much (``taken``) it is taken."""
     sizes = written(_sizes(docs, key, source, size), "mix-sizes")
     plan = plan_of(sizes, weights, max_repeat)
-    out = sizes.join(plan, sizes["source"].eqNullSafe(plan["_source"])).withColumn("repeats", repeats(F.col("h"), max_repeat))
-    return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "h")
+    out = sizes.join(plan, sizes["source"].eqNullSafe(plan["_mix_source"])).withColumn("repeats", repeats(F.col("h"), max_repeat))
+    return out.select(F.col("id").alias(key), "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "h")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. Texts are joined to one row a source, not shuffled."""
     plan = plan_of(written(_sizes(docs, key, source, size), "mix-sizes"), weights, max_repeat)
-    joined = docs.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_source"))).withColumn("_repeats", repeats(hash60(key), max_repeat))
-    return joined.filter("_repeats > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(docs.columns)
+    joined = docs.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_repeats", repeats(hash60(key), max_repeat))
+    return joined.filter("_mix_repeats > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

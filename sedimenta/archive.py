@@ -322,6 +322,10 @@ class Archive:
     def value_or_else(self, pointer, default) -> Column:
         return F.coalesce(self.value(pointer)[1], F.lit(default))
 
+    def get_value(self, pointer) -> Column:
+        """The value; a record that lacks it fails the job."""
+        return F.coalesce(self.value(pointer)[1], F.raise_error(F.lit(f"no value at {show(_path(pointer))}")))
+
     def select(self, *columns: str, **pointers) -> DataFrame:
         """Record columns and named pointers as a DataFrame."""
         a, cols = self, {}

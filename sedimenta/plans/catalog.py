@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.archive import Archive, Field, load_json
-from sedimenta.functions import http, urls
+from sedimenta.functions import entities, http, urls
 from sedimenta.operators import graph, revisits
 from sedimenta.operators.functions import AbsoluteUrl, Data, Entities, Html, HtmlAttribute, HtmlText, HttpPayload, LowerCase, SURT, StringContent, Values
 from sedimenta.operators.paths import Pointer, parse
@@ -457,9 +457,11 @@ def entities_years(spark, sf_dir):
     return a.select("doc_id", dates=e.get("dates")).select("doc_id", F.coalesce(F.size(F.filter("dates", lambda d: d.rlike("^(19|20)[0-9]{2}$"))), F.lit(0)).cast("long").alias("years"))
 
 
-@_query()
+@_query(r"SELECT e AS value, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '\b(?:Apache License|Creative Commons|GNU|MIT)\b'))) AS e FROM documents) GROUP BY e")
 def entities_counts(spark, sf_dir):
-    return _pages(spark, sf_dir).flat_map_values(Entities().get("dates")).groupBy("value").count()
+    licences = Entities(lambda: entities.gazetteer(("GNU", "MIT", "Apache License", "Creative Commons")))
+    found = _documents(spark, sf_dir).flat_map_values(licences.of(Pointer("payload.string")).get("locations"))
+    return found.groupBy("value").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT d.doc_id, d.doc_id % 3 = 0 AS was_revisit, f.first AS \"offset\" FROM documents d JOIN (SELECT md5(text) AS g, min(doc_id) FILTER (doc_id % 3 <> 0) AS first FROM documents GROUP BY 1) f ON md5(d.text) = f.g WHERE d.doc_id % 3 = 0 AND f.first IS NOT NULL")

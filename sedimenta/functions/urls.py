@@ -12,7 +12,7 @@ _WWW = r"^www[0-9]*\."
 
 
 def surt(url: Column) -> Column:
-    """``http://archive.org/web`` to ``org,archive)/web``: lower host without www and default port, labels reversed, no protocol, no fragment."""
+    """``http://example.org/web`` to ``org,example)/web``: lower host without www and default port, labels reversed, no protocol, no fragment."""
     bare = F.regexp_replace(url, "#.*$", "")
     host = F.lower(F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?@]*@)?([^/:?]*)", 1))
     port = F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?@]*@)?[^/:?]*:([0-9]+)", 1)

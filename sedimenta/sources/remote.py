@@ -1,4 +1,4 @@
-"""Remote captures: a CDX server's pages as partitions, and payloads by HTTP.
+"""Remote captures: a CDX server's pages as partitions, and payloads by HTTP from its replay service.
 
 What fetches is a function ``url -> (status line, headers, body)`` or None; it is passed in, so everything here is
 testable offline.
@@ -7,6 +7,7 @@ testable offline.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
 
@@ -18,11 +19,18 @@ from sedimenta.operators.functions import HEADER_TYPE, HttpPayload
 from sedimenta.sources import cdx
 
 Fetched = tuple[str, list[tuple[str, str]], bytes]
-CDX_SERVER = "http://web.archive.org/cdx/search/cdx"
-REPLAY = "http://web.archive.org/web/{timestamp}id_/{url}"
+#: What a replay service puts before the names of the archived response's own headers.
 _ORIGINAL = "x-archive-orig-"
 
 
+@dataclass(frozen=True)
+class Service:
+    """Where captures are looked up, and the address of an untouched payload with ``{timestamp}`` and ``{url}``."""
+
+    cdx: str
+    replay: str
+
+
 def fetch(url: str, timeout: float = 60) -> Fetched | None:
     """A GET; None on any failure."""
     try:
@@ -32,7 +40,7 @@ def fetch(url: str, timeout: float = 60) -> Fetched | None:
         return None
 
 
-def cdx_query(url: str, match_prefix: bool = False, from_: int = 0, to: int = 0, blocks_per_page: int = 5, server: str = CDX_SERVER) -> str:
+def cdx_query(server: str, url: str, match_prefix: bool = False, from_: int = 0, to: int = 0, blocks_per_page: int = 5) -> str:
     args = {"url": url, "matchType": "prefix" if match_prefix else "exact", "pageSize": blocks_per_page}
     if from_:
         args["from"] = from_
@@ -81,7 +89,7 @@ def headers(original: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def payload(timestamp: Column, url: Column, get: Callable[[str], Fetched | None] = fetch) -> Column:
+def payload(replay: str, timestamp: Column, url: Column, get: Callable[[str], Fetched | None] = fetch) -> Column:
     """struct<httpStatusLine, httpHeader, payload> of a capture; null if it can't be fetched."""
     kind = f"struct<httpStatusLine:string,httpHeader:{HEADER_TYPE},payload:binary>"
 
@@ -91,7 +99,7 @@ def payload(timestamp: Column, url: Column, get: Callable[[str], Fetched | None]
 
         out = []
         for t, u in zip(stamps.to_pylist(), urls.to_pylist()):
-            got = get(REPLAY.format(timestamp=t, url=u)) if t and u else None
+            got = get(replay.format(timestamp=t, url=u)) if t and u else None
             out.append(got and {"httpStatusLine": got[0], "httpHeader": [{"k": k, "v": v} for k, v in headers(got[1])], "payload": got[2]})
         return pa.array(out, to_arrow_type(_parsed(kind)))
 
@@ -105,23 +113,26 @@ def _parsed(kind: str):
     return T.StructType([T.StructField("httpStatusLine", T.StringType()), T.StructField("httpHeader", header), T.StructField("payload", T.BinaryType())])
 
 
-def archive_of(rows: DataFrame, get: Callable[[str], Fetched | None] = fetch, config: Config = Config()) -> Archive:
+def archive_of(rows: DataFrame, replay: str, get: Callable[[str], Fetched | None] = fetch, config: Config = Config()) -> Archive:
     """Captures whose payload is fetched only where a derivation needs it."""
     from sedimenta.archive import Field
 
-    df = rows.withColumn("v:http", payload(F.col("timestamp"), F.col("originalUrl"), get))
+    df = rows.withColumn("v:http", payload(replay, F.col("timestamp"), F.col("originalUrl"), get))
     names = {"httpStatusLine": "string", "httpHeader": HEADER_TYPE, "payload": "binary"}
     df = df.withColumns({f"v:{n}": F.col(f"`v:http`.{n}") for n in names})
     record = [c for c in [*cdx.COLUMNS, "time"] if c in rows.columns]
     return Archive(df.drop("v:http"), record, {(n,): Field(f"v:{n}", t, hidden=True) for n, t in names.items()}, config, root_func=HttpPayload())
 
 
-def from_wayback(spark: SparkSession, url: str, match_prefix: bool = False, from_: int = 0, to: int = 0, blocks_per_page: int = 5, pages: int = 50, partitions: int = 0, get=fetch) -> Archive:
-    return archive_of(captures(spark, cdx_query(url, match_prefix, from_, to, blocks_per_page), pages, partitions, get).persist(), get)
+def from_service(spark: SparkSession, service: Service, url: str, match_prefix: bool = False, from_: int = 0, to: int = 0, blocks_per_page: int = 5, pages: int = 50, partitions: int = 0, get=fetch) -> Archive:
+    """An archive of all captures of a URL (or of those below it). The capture rows are kept, so the server is asked once."""
+    query = cdx_query(service.cdx, url, match_prefix, from_, to, blocks_per_page)
+    return archive_of(captures(spark, query, pages, partitions, get).persist(), service.replay, get)
 
 
-def from_local_cdx(spark: SparkSession, path: str, get=fetch) -> Archive:
-    return archive_of(cdx.read(spark, path), get)
+def from_local_cdx(spark: SparkSession, path: str, replay: str, get=fetch) -> Archive:
+    """Captures from local CDX files, payloads from the replay service."""
+    return archive_of(cdx.read(spark, path), replay, get)
 
 
 def text_of(url: Column, get=fetch) -> Column:

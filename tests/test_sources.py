@@ -9,7 +9,7 @@ from sedimenta.archive import Archive
 from sedimenta.operators import graph, revisits
 from sedimenta.operators.functions import Html, HtmlText, HttpPayload, StringContent, WarcPayload
 from sedimenta.operators.paths import Pointer
-from sedimenta.sources import cdx, files, warc, wayback
+from sedimenta.sources import cdx, files, remote, warc
 
 TITLE = HtmlText().of(Html.first("title"))
 LINES = [
@@ -131,21 +131,25 @@ def test_hadoop(spark, tmp_path):
     assert [r.value for r in df.collect()] == ["a", "b"]
 
 
-def test_wayback(spark):
+def test_remote(spark, tmp_path):
     line = "org,a)/ 20200101000000 http://a.org/ text/html 200 SHA 120"
+    service = remote.Service("http://index.test/cdx", "http://replay.test/{timestamp}id_/{url}")
 
     def get(url):
-        if "cdx" in url:
+        if url.startswith("http://index.test"):
             return None if url.endswith("page=1") else ("HTTP/1.1 200 OK", [], (line + "\n").encode())
+        assert url == "http://replay.test/20200101000000id_/http://a.org/"
         return "HTTP/1.1 200 OK", [("content-type", "text/html"), ("x-archive-orig-x-thing", "v"), ("Date", "no")], b"<title>W</title>"
 
-    a = wayback.from_wayback(spark, "a.org", match_prefix=True, from_=2019, to=2021, pages=3, get=get)
+    a = remote.from_service(spark, service, "a.org", match_prefix=True, from_=2019, to=2021, pages=3, get=get)
     rows = a.select("originalUrl", "compressedSize", t=TITLE, h=Pointer("httpHeader")).collect()
     assert len(rows) == 2 and rows[0].t == "W" and rows[0].compressedSize == 120
     assert [tuple(h) for h in rows[0].h] == [("Content-Type", "text/html"), ("X-Thing", "v")]
-    assert wayback.captures(spark, "http://s/cdx?url=a", pages=1, get=get).count() == 1
-    assert "matchType=prefix" in wayback.cdx_query("a", True) and "from" not in wayback.cdx_query("a")
-    assert spark.createDataFrame([("x",), (None,)], "u string").select(wayback.text_of(F.col("u"), lambda u: None)).first()[0] is None
+    assert remote.captures(spark, "http://index.test/cdx?url=a", pages=1, get=get).count() == 1
+    assert "matchType=prefix" in remote.cdx_query("s", "a", True) and "from" not in remote.cdx_query("s", "a")
+    (tmp_path / "l.cdx").write_text(line.replace("SHA 120", "SHA - - 120") + "\n")
+    assert remote.from_local_cdx(spark, f"{tmp_path}/l.cdx", service.replay, get).select(t=TITLE).first().t == "W"
+    assert spark.createDataFrame([("x",), (None,)], "u string").select(remote.text_of(F.col("u"), lambda u: None)).first()[0] is None
 
 
 def test_http_payload_of_junk(spark):

@@ -13,13 +13,25 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Rows of text are handled in slices of about this many bytes, whatever the size of the Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows in an Arrow batch: Spark's default of 10,000 long texts can exceed a worker's memory.
+BATCH_ROWS = 1000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir`` where the session has it.
 

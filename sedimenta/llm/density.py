@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import slices, text_or_empty
+from sedimenta.llm.common import batched, slices, text_or_empty
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -273,7 +273,7 @@ def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     def main_text(col: pa.Array) -> pa.Array:
         return pa.array([extract(h) for h in col.to_pylist()], pa.string())
 
-    out = pages.withColumn(text, main_text(text_or_empty(html)))
+    out = batched(pages).withColumn(text, main_text(text_or_empty(html)))
     return out.withColumn("n_chars", F.char_length(text).cast("long"))
 
 
@@ -285,7 +285,7 @@ def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
             texts = [extract(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", text_or_empty("html").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return batched(pages).select("page_id", "url", text_or_empty("html").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 QUERIES = {"op4_extract_html": op4_extract_html}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import documents, slices, text_or_empty
+from sedimenta.llm.common import batched, documents, slices, text_or_empty
 
 WIDTH = 64
 MAX_ROWS = 65535
@@ -289,7 +289,7 @@ def frames(files: DataFrame, key: str = "id", content: str = "content") -> DataF
             names = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[key, *names])
 
-    return files.select(key, F.col(content).cast("binary").alias("content")).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, {FRAME_SCHEMA}")
+    return batched(files).select(key, F.col(content).cast("binary").alias("content")).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, {FRAME_SCHEMA}")
 
 
 # --- texts as samples -----------------------------------------------------------------------------------------------
@@ -318,7 +318,7 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             raw = [t.encode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([encode_gray(padded(r)) for r in raw], pa.binary())], names=[key, "n_bytes", "media"])
 
-    return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return batched(docs).select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 _DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -336,7 +336,7 @@ def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=[key, "n_bytes", *[x.split()[0] for x in _DIGEST.split(", ")]])
 
-    return media.select(key, "n_bytes", "media").mapInArrow(run, f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, {_DIGEST}")
+    return batched(media).select(key, "n_bytes", "media").mapInArrow(run, f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, {_DIGEST}")
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

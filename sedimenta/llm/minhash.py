@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import U64, buffers, documents, fmix, lowered, prefix_hash, slices, span_hash, text_or_empty, words_of, written
+from sedimenta.llm.common import U64, batched, buffers, documents, fmix, lowered, prefix_hash, slices, span_hash, text_or_empty, words_of, written
 
 PERMUTATIONS = 64
 SHINGLE = 3
@@ -98,7 +98,7 @@ def _in_order(docs: DataFrame, key: str) -> DataFrame:
     if cuts:
         edges = F.array(*[F.lit(int(c)) for c in cuts])
         part = F.when(F.col("i").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e < F.col("i"))))
-    rows = docs.select(F.col(key).cast("long").alias("i"), text_or_empty("text").alias("text")).withColumn("part", part)
+    rows = batched(docs).select(F.col(key).cast("long").alias("i"), text_or_empty("text").alias("text")).withColumn("part", part)
     # the least row of each range; ties of equal ids are broken by text, so only ids at the edge are compared by it
     least = written(rows.groupBy("part").agg(F.min(F.struct(F.col("i").isNotNull().alias("k"), F.col("i").alias("i"))).alias("m")).select("part", "m.i"), "minhash-ranges")
     wrap = Window.orderBy("part")
@@ -135,7 +135,7 @@ def edited(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches):
         """Rows sorted by (part, extra, i, text): a part's rows, then the first of the next part."""
         held = []
-        for b in slices(batches, limit=2 << 20):
+        for b in slices(batches, limit=1 << 20):
             for part, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if held and held[-1][0] != part:
                     if len(held) > 1:
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes().hex() for x in s])], names=[key, "fingerprint"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, fingerprint string")
+    return batched(docs).select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, fingerprint string")
 
 
 def _jaccard():

@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import U64, buffers, documents, fmix, slices
+from sedimenta.llm.common import U64, batched, buffers, documents, fmix, slices
 
 SEED = 42
 DROPOUT = 0.1
 VARIANTS = 8
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _BLANK = "▁"
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 _NEVER = np.iinfo(np.int64).max
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPO
             parts.append(_lists(ids, off, null))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return docs.withColumn("ids", ids_of(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).cast("string")))
+    return batched(docs).withColumn("ids", ids_of(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).cast("string")))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -301,7 +301,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") ->
         out = pa.StringArray.from_buffers(len(col), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data.tobytes()))
         return pa.array([None if n else t for n, t in zip(null, out.to_pylist())], pa.string()) if null.any() else out
 
-    return rows.withColumn(text, text_of(ids))
+    return batched(rows).withColumn(text, text_of(ids))
 
 
 def coded(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +320,7 @@ def coded(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOU
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, off, null), pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array(np.diff(where)), pa.array(same)], names=[key, "ids", "n_tokens", "ids_crc32", "n_bytes", "lossless"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("string").alias("text"))
+    rows = batched(docs).select(key, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"{key} {kind}, ids array<int>, n_tokens long, ids_crc32 long, n_bytes long, lossless boolean")
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import U64, buffers, documents, lowered, slices, text_or_empty, words_of, written
+from sedimenta.llm.common import U64, batched, buffers, documents, lowered, slices, text_or_empty, words_of, written
 
 SEED = 42
 SHINGLE = 3
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, fp long")
+    return batched(docs).select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, fp long")
 
 
 # --- keys ---------------------------------------------------------------------------------------------------------

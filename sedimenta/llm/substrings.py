@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.llm.common import U64, buffers, documents, powers, prefix_hash, slices, span_hash, text_or_empty, written
+from sedimenta.llm.common import U64, batched, buffers, documents, powers, prefix_hash, slices, span_hash, text_or_empty, written
 
 LENGTH = 200
 GRAM = 64
@@ -191,7 +191,7 @@ def _unpack(column: pa.Array) -> list[bytes]:
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, th, text): equal ids with equal texts are alike in all that follows."""
-    return docs.select(F.col(key).cast("string").alias("id"), text_or_empty(text).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
+    return batched(docs).select(F.col(key).cast("string").alias("id"), text_or_empty(text).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
 
 
 def _anchor_rows(batches):

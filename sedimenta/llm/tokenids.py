@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import documents, slices, table_path, text_or_empty
+from sedimenta.llm.common import batched, documents, slices, table_path, text_or_empty
 
 END = 2
 ROW_STRIDE = 1000
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END, key: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return batched(docs).select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> None:

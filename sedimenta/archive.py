@@ -13,6 +13,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +49,10 @@ def _lift(f, depth: int):
 
 
 class Archive:
-    def __init__(self, df: DataFrame, record: list[str], tree: dict[tuple[str, ...], Field] | None = None, config: Config = Config(), loads: dict | None = None, root_func: Func | None = None):
-        self.df, self.record, self.tree, self.config = df, list(record), dict(tree or {}), config
-        self.loads = dict(loads or {})
-        self.root_func = root_func
+    def __init__(self, df: DataFrame, record: list[str], tree: dict[tuple[str, ...], Field] | None = None, config: Config = Config(), root_func: Func | None = None, base: DataFrame | None = None, steps: tuple = ()):
+        self.df, self.record, self.tree, self.config, self.root_func = df, list(record), dict(tree or {}), config, root_func
+        #: ``df`` is ``base`` after ``steps``: derivations and filters on derived values, before which a filter on metadata is put
+        self.base, self.steps = df if base is None else base, tuple(steps)
 
     # --- making one ---------------------------------------------------------------------------------------------------
 
@@ -62,8 +63,14 @@ class Archive:
         record = [c for c in df.columns if c != html]
         return Archive(df, record, {parse("payload.string"): Field(html, "string", hidden=True)}, config)
 
-    def _with(self, df: DataFrame | None = None, tree=None) -> Archive:
-        return Archive(self.df if df is None else df, self.record, self.tree if tree is None else tree, self.config, self.loads, self.root_func)
+    def _with(self, step=None, tree=None) -> Archive:
+        """With one more step (DataFrame to DataFrame, columns by name) or another tree."""
+        df, steps = (self.df, self.steps) if step is None else (step(self.df), (*self.steps, step))
+        return Archive(df, self.record, self.tree if tree is None else tree, self.config, self.root_func, self.base, steps)
+
+    def _anew(self, df: DataFrame) -> Archive:
+        """From rows below which later filters must not go."""
+        return Archive(df, self.record, self.tree, self.config, self.root_func)
 
     # --- paths --------------------------------------------------------------------------------------------------------
 
@@ -151,15 +158,15 @@ class Archive:
 
     def enrich(self, func: Func) -> Archive:
         """Derive ``func``'s fields, with what they need (hidden). Derived once by field name; asking again un-hides."""
-        a = self._with(self.df.withColumn(ERROR, F.lit(None).cast("string")) if ERROR in self.df.columns and not self.is_enriched(func) else None)
+        a = self._with((lambda d: d.withColumn(ERROR, F.lit(None).cast("string"))) if ERROR in self.df.columns and not self.is_enriched(func) else None)
         return a._derive(func, hidden=False)
 
     def enrich_value(self, field: str, value) -> Archive:
         if (field,) in self.tree:
             return self
         name = f"v:{field}"
-        df = self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
-        return self._with(df, self.tree | {(field,): Field(name, df.schema[name].dataType.simpleString())})
+        a = self._with(lambda d: d.withColumn(name, value if isinstance(value, Column) else F.lit(value)))
+        return a._with(tree=self.tree | {(field,): Field(name, a.df.schema[name].dataType.simpleString())})
 
     def _derive(self, func: Func, hidden: bool) -> Archive:
         a = self
@@ -186,24 +193,20 @@ class Archive:
         if got is None:
             raise KeyError(f"{func!r} reads {show(source)}, which this archive doesn't have")
         col, field, depth = got
-        tree, df = dict(a.tree), a.df
+        tree = dict(a.tree)
         if isinstance(func, Identity):
-            tree[keys[0]] = Field(field.column if depth == field.depth else f"v:{show(keys[0])}", field.dtype, depth, field.multi, hidden, identity=True)
-            if depth != field.depth:
-                df = df.withColumn(tree[keys[0]].column, col)
-            return a._with(df, tree)
+            name = field.column if depth == field.depth else f"v:{show(keys[0])}"
+            tree[keys[0]] = Field(name, field.dtype, depth, field.multi, hidden, identity=True)
+            return a._with((lambda d: d.withColumn(name, col)) if depth != field.depth else None, tree)
         names = {f: f"v:{show((*a._key(func.base), f))}" for f in func.fields}
         if func.expr is not None:
             extra = [F.col(f"`{c}`") for c in func.context if c in a.df.columns]
-            for f in func.fields:
-                df = df.withColumn(names[f], _lift(lambda c, f=f: func.expr(c, *extra)[f], depth)(col))
+            step = lambda d: d.withColumns({names[f]: _lift(lambda c, f=f: func.expr(c, *extra)[f], depth)(col) for f in func.fields})
         else:
-            df = a._python(func, col, depth, names)
+            step = a._python(func, col, depth, names)
         for k, (f, dtype) in zip(keys, func.fields.items()):
             tree[k] = Field(names[f], dtype, depth, f in func.multi_fields, hidden)
-        if depth and any(f in func.multi_fields for f in func.fields):
-            pass  # a list in each element: one more level below it
-        return a._with(df, tree)
+        return a._with(step, tree)
 
     def _load(self, load: str) -> Archive:
         """The record's text or bytes, resolved by the kind of record."""
@@ -214,8 +217,8 @@ class Archive:
         a = self._derive(self.root_func, hidden=True)
         return a._derive(StringContent(), hidden=True) if load == "text" else a
 
-    def _python(self, func: Func, col: Column, depth: int, names: dict[str, str]) -> DataFrame:
-        """One Arrow-batched UDF for all fields; errors come along as one more field."""
+    def _python(self, func: Func, col: Column, depth: int, names: dict[str, str]):
+        """A step with one Arrow-batched UDF for all fields; errors come along as one more field."""
         kinds = {f: _arrays(dtype, depth) for f, dtype in func.fields.items()}
         out = T.StructType.fromDDL(", ".join(f"f{k} {d}" for k, d in enumerate(kinds.values())) + ", e string")
         py, setup, catch = func.py, func.setup, self.config.catch_exceptions
@@ -252,10 +255,14 @@ class Archive:
             return pa.array([{**{f"f{k}": r[0][k] for k in range(len(fields))}, "e": r[1]} for r in rows], _arrow(out))
 
         udf = F.arrow_udf(run, out).asNondeterministic()
-        df = self.df.withColumn("__d", udf(arg))
-        df = df.withColumns({names[f]: F.col(f"__d.f{k}") for k, f in enumerate(fields)})
-        old = F.col(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
-        return df.withColumn(ERROR, F.coalesce(F.col("__d.e"), old)).drop("__d")
+
+        def step(df: DataFrame) -> DataFrame:
+            df = df.withColumn("__d", udf(arg))
+            df = df.withColumns({names[f]: F.col(f"__d.f{k}") for k, f in enumerate(fields)})
+            old = F.col(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
+            return df.withColumn(ERROR, F.coalesce(F.col("__d.e"), old)).drop("__d")
+
+        return step
 
     def _combine(self, func: Values, source: tuple[str, ...], hidden: bool) -> Archive:
         """``Values``: members below the place it is attached to are taken element by element."""
@@ -276,37 +283,49 @@ class Archive:
             col, depth = F.when(F.size(base) > 0, col), 1
         k = (*key, func.default)
         name = f"v:{show(k)}"
-        return self._with(self.df.withColumn(name, col), self.tree | {k: Field(name, "array<string>", depth, False, hidden)})
+        return self._with(lambda d: d.withColumn(name, col), self.tree | {k: Field(name, "array<string>", depth, False, hidden)})
 
     # --- filters --------------------------------------------------------------------------------------------------------
 
     def filter(self, condition) -> Archive:
-        """By metadata. Catalyst takes it below deterministic columns; write it before Python derivations, as one does here."""
-        return self._with(self.df.filter(condition))
+        """By metadata: put before all derivations, so that it reaches the scan whenever it was written.
+
+        A condition on anything else stays where it is.
+        """
+        if self.steps:
+            try:
+                base = df = self.base.filter(condition)
+                for step in self.steps:
+                    df = step(df)
+                return Archive(df, self.record, self.tree, self.config, self.root_func, base, self.steps)
+            except AnalysisException:
+                pass
+            return self._with(lambda d: d.filter(condition))
+        return self._anew(self.df.filter(condition))
 
     def filter_exists(self, pointer) -> Archive:
         """Records that have the value already; nothing is derived."""
         got = self._resolve(_path(pointer))
-        return self._with(self.df.filter(F.lit(False) if got is None else _present(got)))
+        return self._with(lambda d: d.filter(F.lit(False) if got is None else _present(got)))
 
     def filter_value(self, pointer, predicate) -> Archive:
         """``predicate``: Column to Column; a missing value is null, and null counts as false."""
         a, col = self.value(pointer)
-        return a._with(a.df.filter(F.coalesce(predicate(col), F.lit(False))))
+        return a._with(lambda d: d.filter(F.coalesce(predicate(col), F.lit(False))))
 
     def filter_non_empty(self, pointer) -> Archive:
         a, col = self.value(pointer)
         kind = a.df.select(col.alias("x")).schema["x"].dataType
         size = F.size(col) if isinstance(kind, (T.ArrayType, T.MapType)) else F.length(col) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(1)
-        return a._with(a.df.filter(col.isNotNull() & (size > 0)))
+        return a._with(lambda d: d.filter(col.isNotNull() & (size > 0)))
 
     def filter_no_exception(self) -> Archive:
-        return self._with(self.df.filter(F.col(ERROR).isNull())) if ERROR in self.df.columns else self
+        return self._with(lambda d: d.filter(F.col(ERROR).isNull())) if ERROR in self.df.columns else self
 
     def filter_in(self, column: str, keys: DataFrame, key: str) -> Archive:
         """Records whose ``column`` is among ``keys``: a semi-join, whose strategy is left to the sizes."""
         keys = keys.select(F.col(key).alias("__key")).distinct()
-        return self._with(self.df.join(keys, self.df[column] == F.col("__key"), "left_semi"))
+        return self._anew(self.df.join(keys, self.df[column] == F.col("__key"), "left_semi"))
 
     # --- values ---------------------------------------------------------------------------------------------------------
 
@@ -350,7 +369,7 @@ class Archive:
         if not keep_null_groups:
             df = df.filter("__k is not null")
         df = df.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(*order))).filter("__n = 1")
-        return a._with(df.drop("__k", "__n"))
+        return a._anew(df.drop("__k", "__n"))
 
     def distinct_by(self, key: str, reducer) -> DataFrame:
         """One record for each value of a record column by an arbitrary binary reducer of dicts. Slow: a group is folded in Python."""
@@ -378,7 +397,7 @@ class Archive:
         return row[0] if row else None
 
     def persist(self) -> Archive:
-        return self._with(self.df.persist())
+        return self._anew(self.df.persist())
 
     def count(self) -> int:
         return self.df.count()

@@ -113,23 +113,15 @@ def string_content(payload: bytes | None, header=None) -> str | None:
     if header and (mime(header) or "").lower() == "text/html":
         m = _META.search(data[:4096])
         names.append(m.group(1).decode("ascii") if m else None)
-    for name in [*names, "utf-8"]:
+    for name in [n for n in (*names, "utf-8") if n]:
         try:
             # a character that the limit cuts in two is dropped
-            return codecs.getincrementaldecoder(name)().decode(data).strip() if name else _next()
-        except (LookupError, UnicodeDecodeError, _Skip):
+            return codecs.getincrementaldecoder(name)().decode(data).strip()
+        except (LookupError, UnicodeDecodeError):
             continue
     return data.decode("latin-1").strip()
 
 
-class _Skip(Exception):
-    pass
-
-
-def _next():
-    raise _Skip
-
-
 # --- the header helpers as Columns, over array<struct<k, v>> ---------------------------------------------------------
 
 

@@ -137,6 +137,13 @@ def test_distinct(spark):
     assert [r.id for r in a.filter_in("k", spark.createDataFrame([("b",), ("b",)], "x string"), "x").df.collect()] == [3]
 
 
+def test_filters_stay_above_distinct(spark):
+    rows = [(1, "a", 5), (2, "a", 6)]
+    a = Archive(spark.createDataFrame(rows, "id long, k string, t int"), ["id", "k", "t"]).enrich(Pointer("id").map("x", lambda c: c + 1, "long"))
+    assert a.distinct_value("k", ["t"]).filter("t > 5").df.count() == 0 and a.filter("t > 5").distinct_value("k", ["t"]).df.count() == 1
+    assert a.filter(F.col("`v:id.x`") > 2).df.count() == 1
+
+
 def test_entities_either_spelling(spark):
     df = spark.createDataFrame([(1, "u", "<body>Dr. Ada Bell in Paris, 1999</body>")], "page_id long, url string, html string")
     a = Archive.of_pages(df).enrich(Entities())
@@ -177,5 +184,7 @@ def test_plan_prunes_and_pushes(spark, pages, tmp_path):
     a = Archive.of_pages(spark.read.parquet(f"{tmp_path}/p"), url="originalUrl").filter("page_id = 1").enrich(TITLE)
     plan = a.select("page_id", t=TITLE)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(page_id), EqualTo(page_id,1)]" in plan
+    late = Archive.of_pages(spark.read.parquet(f"{tmp_path}/p"), url="originalUrl").enrich(TITLE).filter_value(TITLE, lambda c: c.isNotNull()).filter("page_id = 1")
+    assert "EqualTo(page_id,1)]" in late.df._jdf.queryExecution().toString() and [r.t for r in late.select(t=TITLE).collect()] == ["One & only"]
     bare = a.df.select("originalUrl")._jdf.queryExecution().sparkPlan().toString()
     assert "html" not in bare.split("ReadSchema")[1]

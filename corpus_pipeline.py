@@ -1,6 +1,6 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-1. toxicity: documents that the Kneser-Ney scorer predicts toxic go;
+1. toxicity: documents that the scorer (gated log-odds of expressions) predicts toxic go;
 2. line dedup: lines over the boilerplate ratio of their source are cut (``n_chars`` follows);
 3. near dedup: of documents linked by SimHash, directly or through others, the one of least id stays;
 4. mixing: rows are taken as often as their source's target weight asks (0 to 3 times);

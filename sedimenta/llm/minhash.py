@@ -5,10 +5,10 @@ shingle). A shingle's 64-bit hash goes through ``PERMUTATIONS`` universal hash f
 odd multipliers), all in numpy over whole buffers of text; the least value of each is one place of the fingerprint,
 kept as 16 bits. The share of equal places estimates the Jaccard likeness of two texts' shingles.
 
-``near_duplicates`` joins bands of the fingerprint in Spark: equal fingerprints are folded to one row first, a band
-bucket is linked as a star around its least member instead of all its pairs, and the Jaccard likeness of the linked
-texts' shingle sets verifies each link. Star links whose likeness is too low lead to a next round in which the members
-left over form their own stars, so a bucket mixed by chance loses none of its groups, and no bucket is capped.
+``near_duplicates`` joins bands of the fingerprint in Spark: equal texts are folded to one row first, a band
+bucket is compared pair by pair, and the Jaccard likeness of the two texts' shingle sets verifies each link, so links among
+members that are all near a third one count, and a chain of gradual edits stays whole. A pair that shares several bands
+is judged once, and no bucket is capped; the pairs of a bucket grow with the square of its distinct texts.
 
 Defined results: a null or empty text has the fingerprint of no shingle (all ones), like any other such text and
 unlike all else; equal texts have equal fingerprints; documents follow one another by id, null ids first, rows of
@@ -156,13 +156,15 @@ def edited(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint hex string)"""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(key, fingerprint hex string); ``digest`` appends the text's own digest."""
 
     def run(batches):
         for b in slices(batches):
-            s = signatures(*buffers(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes().hex() for x in s])], names=[key, "fingerprint"])
+            data, off = buffers(b.column(1))
+            ends = [hashlib.md5(data[s:e]).hexdigest() if digest else "" for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
+            prints = pa.array([x.tobytes().hex() + e for x, e in zip(signatures(data, off), ends)])
+            yield pa.RecordBatch.from_arrays([b.column(0), prints], names=[key, "fingerprint"])
 
     kind = docs.schema[key].dataType.simpleString()
     return batched(docs).select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {kind}, fingerprint string")
@@ -184,32 +186,22 @@ def _jaccard():
 def near_duplicates(docs: DataFrame, like: float = LIKE, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links): documents linked by a shared band and a verified Jaccard likeness of ``like`` or more.
 
-    ``class_id`` is the least id of the document's class; ``n_links`` counts the verified links of its fingerprint,
-    copies of the same fingerprint included.
+    ``class_id`` is the least id of the document's class; ``n_links`` counts the verified links of its text,
+    copies of the same text included.
     """
     from sedimenta.llm.simhash import components
 
     width = PERMUTATIONS // bands * 4
-    prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), key, text), "minhash")
+    prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), key, text, digest=True), "minhash")
     classes = written(prints.groupBy("fingerprint").agg(F.min(key).cast("long").alias("rep"), F.count("*").alias("n")), "minhash-classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring("fingerprint", k * width + 1, F.lit(width)))))
-    rest = classes.select("rep", band.alias("band"))
+    placed = written(classes.select("rep", band.alias("band")), "minhash-bands")
     texts = docs.select(F.col(key).cast("long").alias("rep"), text_or_empty(text).alias("text")).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     texts = written(texts, "minhash-texts")
-    links = None
-    while True:
-        heads = rest.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1")
-        star = written(rest.join(heads, "band").filter("rep <> head").select("band", "rep", "head"), "minhash-stars")
-        if star.isEmpty():
-            break
-        pairs = star.select("rep", "head").distinct().join(texts, "rep").join(texts.select(F.col("rep").alias("head"), F.col("text").alias("other")), "head")
-        judged = written(pairs.select("rep", "head", (_jaccard()("text", "other") >= like).alias("near")), "minhash-judged")
-        near = judged.filter("near").select("rep", "head")
-        links = near if links is None else links.unionAll(near)
-        rest = star.join(judged.filter("not near"), ["rep", "head"]).select("rep", "band")
-    if links is None:
-        return prints.join(classes, "fingerprint").select(key, F.col("rep").alias("class_id"), (F.col("n") - 1).alias("n_links"))
-    links = written(links.distinct(), "minhash-links")
+    heads = placed.select(F.col("rep").alias("head"), "band")
+    pairs = written(placed.join(heads, "band").filter("rep > head").select("rep", "head").distinct(), "minhash-pairs")
+    judged = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("head"), F.col("text").alias("other")), "head")
+    links = written(judged.filter(_jaccard()("text", "other") >= like).select("rep", "head"), "minhash-links")
     ends = links.unionAll(links.select(F.col("head").alias("rep"), F.col("rep").alias("head")))
     degree = ends.join(classes.select(F.col("rep").alias("head"), "n"), "head").groupBy("rep").agg(F.sum("n").alias("more"))
     of = classes.join(components(links, "rep", "head").toDF("rep", "root"), "rep", "left").join(degree, "rep", "left")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -58,3 +59,26 @@ def test_near_duplicates(docs):
     assert all(got[200 + i].class_id == 0 and got[200 + i].n_links >= 5 for i in range(5))
     assert got[301].class_id == 300 and got[30].n_links == 0 and got[30].class_id == 30
     assert M.near_duplicates(docs([])).collect() == []
+
+
+def test_chains_as_brute_force(docs):
+    """Gradual edits: texts up to four steps apart are alike, the ends are not; all pairs that share a band count."""
+    rows, k = [], 0
+    for c in range(6):
+        words = [f"c{c}w{k}" for k in range(200)]
+        for step in range(8):
+            at = step * 3
+            rows.append((k, " ".join(words[at : at + 128])))
+            k += 1
+    random.Random(1).shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    prints = M.signatures_of([t for _, t in rows])
+    shared = (prints.reshape(len(rows), M.BANDS, -1)[:, None] == prints.reshape(len(rows), M.BANDS, -1)[None]).all(axis=3).any(axis=2)
+    near = {(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and shared[a, b] and _like(rows[a][1], rows[b][1]) >= M.LIKE}
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(docs(rows)).collect()}
+    assert got == {i: (root[i], sum(a == i for a, _ in near)) for i, _ in rows}
+    assert len(near) > 60

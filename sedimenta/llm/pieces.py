@@ -3,12 +3,13 @@
 A BPE SentencePiece model is applied by agenda: of all adjacent symbols whose concatenation is a piece, the best-scored
 (leftmost of equals) merges first. Each candidate, told by its span in the word, is skipped for good if its keyed hash
 lies under the dropout rate, so segmentations vary in which merges they use, yet all decode to the same text. The key
-is (seed, word, variant); the variant, one of ``VARIANTS``, follows from (seed, document id, place of the word in it),
-so results don't depend on partitioning and a rerun agrees. Rate 0 gives the library's own segmentation.
+is (seed, document id, place of the word in it), so each occurrence draws for itself, results don't depend on
+partitioning and a rerun agrees. Rate 0 gives the library's own segmentation.
 
 No piece of such a vocabulary joins text across a blank that follows a non-blank, nor across a line feed, so words are
-segmented on their own: thousands at once in numpy (a round merges the best candidate of every word), each distinct
-(word, variant) once for a worker.
+segmented on their own: thousands at once in numpy (a round merges the best candidate of every word). A worker
+remembers the segmentation without dropout of each distinct word and the candidates it meets; an occurrence whose draws
+skip none of these has that segmentation, any other is segmented anew with its own draws.
 
 Lossless: characters without a piece become byte pieces, and so does a literal U+2581, which the library would turn
 into a blank.
@@ -33,7 +34,6 @@ from sedimenta.llm.common import U64, batched, buffers, documents, fmix, slices
 
 SEED = 42
 DROPOUT = 0.1
-VARIANTS = 8
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
 _BLANK = "▁"
@@ -107,8 +107,11 @@ class Pieces:
             at = at + 1
         return ids, ranks
 
-    def segment(self, words: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and how many each has. ``keys``: the 64-bit key of each word's dropout."""
+    def segment(self, words: list[str], keys: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has. ``keys``: the 64-bit key of each word's dropout.
+
+        ``met`` gets the candidates: arrays of the word's number and the span's hash.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
@@ -122,11 +125,13 @@ class Pieces:
             """Merging the symbols i and i + 1, where the latter ends before ``last``."""
             ids, ranks = self.merged(sym[i], sym[i + 1])
             some = np.flatnonzero(ranks != _NEVER)
-            if dropout > 0 and len(some):
+            if (dropout > 0 or met is not None) and len(some):
                 j = i[some]
-                span = begin[j].astype(U64) << U64(42) | begin[j + 1].astype(U64) << U64(21) | last[some].astype(U64)
-                skip = fmix(keys[word[j]] ^ fmix(span)) < limit
-                ranks[some[skip]] = _NEVER
+                span = fmix(begin[j].astype(U64) << U64(42) | begin[j + 1].astype(U64) << U64(21) | last[some].astype(U64))
+                if met is not None:
+                    met.append((word[j], span))
+                if dropout > 0:
+                    ranks[some[fmix(keys[word[j]] ^ span) < limit]] = _NEVER
             return ids, ranks
 
         out_word, out_sym, out_place = [], [], []
@@ -203,18 +208,40 @@ class Pieces:
 
 
 class Coder:
-    """Texts to ids, with a memory of (word, variant)."""
+    """Texts to ids, with a memory of words' segmentations without dropout."""
 
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
         self.pieces, self.seed, self.dropout = Pieces(path), seed, dropout
-        self.variants = variants if dropout > 0 else 1
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.size = np.full(1 << 14, -1, np.int32)
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.spans, self.span_at, self.span_size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        met: list | None = [] if self.dropout > 0 else None
+        ids, size = self.pieces.segment(words, np.zeros(len(words), U64), 0.0, met)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.size, size])
+        if met is not None:
+            word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in met)])
+            span = np.concatenate([np.zeros(0, U64), *(s for _, s in met)])
+            n = np.bincount(word, minlength=len(words)).astype(np.int64)
+            self.span_at = np.concatenate([self.span_at, len(self.spans) + np.cumsum(n) - n])
+            self.spans, self.span_size = np.concatenate([self.spans, span[np.argsort(word, kind="stable")]]), np.concatenate([self.span_size, n])
+
+    def _skips(self, slot: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the occurrences whose draws skip a candidate."""
+        limit = U64(min(int(self.dropout * 2.0**64), (1 << 64) - 1))
+        left, found, k = np.flatnonzero(self.span_size[slot] > 0), [], 0
+        while len(left):
+            s = slot[left]
+            hit = fmix(keys[left] ^ self.spans[self.span_at[s] + k]) < limit
+            found.append(left[hit])
+            k += 1
+            left = left[~hit & (self.span_size[s] > k)]
+        return np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
 
     def __call__(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         find = _WORD.findall
@@ -228,33 +255,23 @@ class Coder:
         if len(self.number) + len(new) > REMEMBERED and self.number:
             self._forget()
             new = set(words)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        slots = len(self.number) * self.variants
-        if slots > len(self.at):
-            more = max(slots, len(self.at))
-            self.at = np.concatenate([self.at, np.zeros(more, np.int64)])
-            self.size = np.concatenate([self.size, np.full(more, -1, np.int32)])
-        slot = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) * self.variants
-        if self.variants > 1:
+        if new:
+            todo = list(new)
+            self.number.update(zip(todo, range(len(self.number), len(self.number) + len(todo))))
+            self._learn(todo)
+        slot = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        begin, size, flat = self.at[slot], self.size[slot], self.flat
+        if self.dropout > 0:
             doc = np.fromiter((xxhash.xxh64_intdigest(k, self.seed) for k in keys), U64, len(keys))
             place = (np.arange(len(words)) - np.repeat(first[:-1], counts)).astype(U64)
-            slot += (fmix(np.repeat(doc, counts) + place * U64(0x9E3779B97F4A7C15)) % U64(self.variants)).astype(np.int64)
-        missing, where = np.unique(slot[self.size[slot] < 0], return_index=True)
-        if len(missing):
-            owners = np.flatnonzero(self.size[slot] < 0)[where]
-            todo = [words[i] for i in owners.tolist()]
-            h = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in todo), U64, len(todo))
-            ids, size = self.pieces.segment(todo, fmix(h + (missing % self.variants).astype(U64)), self.dropout)
-            need = self.used + len(ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.int32)])
-            self.flat[self.used : need] = ids
-            self.at[missing] = self.used + np.cumsum(size) - size
-            self.size[missing] = size
-            self.used = need
-        begin, size = self.at[slot], self.size[slot].astype(np.int64)
+            own = fmix(np.repeat(doc, counts) + place * U64(0x9E3779B97F4A7C15))
+            anew = self._skips(slot, own)
+            if len(anew):
+                ids, n = self.pieces.segment([words[i] for i in anew.tolist()], own[anew], self.dropout)
+                begin[anew], size[anew] = len(flat) + np.cumsum(n) - n, n
+                flat = np.concatenate([flat, ids.astype(np.int32)])
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(int(ends[-1])) - np.repeat(ends - size - begin, size)]
+        ids = flat[np.arange(int(ends[-1])) - np.repeat(ends - size - begin, size)]
         return ids, np.concatenate([[0], ends])[first]
 
 
@@ -272,12 +289,12 @@ def _lists(ids: np.ndarray, off: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)), mask=pa.array(null))
 
 
-def encode(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int>; every column is kept."""
 
     @F.arrow_udf("array<int>")
     def ids_of(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        run = coder(model, seed, dropout, variants)
+        run = coder(model, seed, dropout)
         parts = []
         for b in slices([pa.RecordBatch.from_arrays([keys, texts], names=["k", "text"])]):
             null = np.asarray(b.column(1).is_null())
@@ -293,7 +310,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") ->
 
     @F.arrow_udf("string")
     def text_of(col: pa.Array) -> pa.Array:
-        pieces = coder(model, SEED, 0.0, 1).pieces
+        pieces = coder(model, SEED, 0.0).pieces
         null = np.asarray(col.is_null())
         col = col.fill_null([])
         values, off = np.asarray(col.flatten()).astype(np.int64), np.asarray(col.offsets).astype(np.int64)
@@ -304,11 +321,11 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") ->
     return batched(rows).withColumn(text, text_of(ids))
 
 
-def coded(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def coded(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, n_tokens, ids_crc32, n_bytes, lossless): encoded, decoded again and compared in one pass."""
 
     def run(batches):
-        c = coder(model, seed, dropout, variants)
+        c = coder(model, seed, dropout)
         for b in slices(batches):
             null = np.asarray(b.column(2).is_null())
             ids, off = c([t or "" for t in b.column(2).to_pylist()], b.column(1).to_pylist())

@@ -105,3 +105,27 @@ def test_lossless_and_varied(docs):
     assert all(r.back == r.text for r in back) and enc.columns == [*d.columns, "ids"]
     assert {(r.doc_id, tuple(r.ids or ())) for r in back if r.text} == {(r.doc_id, tuple(r.ids)) for r in got if r.ids}
     assert P.coded(docs([]), MODEL).collect() == []
+
+
+def test_each_occurrence_draws():
+    """Of a word's many occurrences the expected share skips nothing, and each is the agenda with its own key."""
+    import xxhash
+
+    from sedimenta.llm.common import fmix
+
+    n, word = 3000, " international"
+    c = P.Coder(MODEL, 1, 0.1)
+    ids, off = c([(word * n)[1:]], ["d"])
+    met = []
+    plain, _ = c.pieces.segment([word], np.zeros(1, np.uint64), 0.0, met)
+    spans = len({int(s) for _, x in met for s in x})
+    place = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = fmix(np.uint64(xxhash.xxh64_intdigest("d", 1)) + place)
+    want = [_agenda(c.pieces, word, int(k), 0.1) for k in keys[:200]]
+    assert ids[: sum(map(len, want))].tolist() == [i for w in want for i in w]
+    each = [tuple(c.pieces.segment([word], keys[k : k + 1], 0.1)[0].tolist()) for k in range(n)]
+    assert ids.tolist() == [i for w in each for i in w] and len(set(each)) > 8
+    drawn = np.zeros(n, bool)
+    drawn[c._skips(np.full(n, c.number[word]), keys)] = True
+    assert abs(np.mean(~drawn) - 0.9**spans) < 0.03
+    assert all(e == tuple(plain.tolist()) for e, d in zip(each, drawn) if not d)

@@ -8,22 +8,26 @@ links,
 
 where NL are its characters outside of links and LB/CB the link share of the body. A node's density sum adds up its
 children's densities. The nodes on the path from the body to the node of largest sum set the threshold: the least
-density on that path; the main text is the subtree of largest sum, grown to the enclosing article where there is one,
-without descendants under the threshold that hold tags of page furniture only.
+density on that path; the main text is the subtree of largest sum, grown along that path (all of it meets the
+threshold) to the enclosing article where there is one.
 
 Furniture never counts as text: head, scripts, styles, templates, menus, headers and footers of the page, asides,
-forms, controls, dialogs, hidden nodes, and elements whose role, class or id names a menu, banner, advert, notice,
-sidebar, share bar, breadcrumb, cookie or comment section.
+forms, controls, dialogs, hidden nodes, and elements whose role, or a whole token of whose class or id, names a menu,
+banner, advert, notice, sidebar, breadcrumb, cookie or comment section. Tokens that only suggest furniture (``related``,
+``share``, ``legal``) are hints: density decides, and such an element goes only if it is below the threshold or mostly
+links, as lists of links below the threshold do.
 
 Defined results: null, empty and tag-free input give what text there is (empty if none); white space inside a block
 becomes one blank, blocks are joined by line feeds in page order; character references are decoded once; repeated
-rows, null ids and further columns don't matter; pages of any length are read whole; no rows give no rows.
+rows, null ids and further columns don't matter (columns named as a result are replaced by it); pages of any length are
+read whole, in time linear in it however broken their tags; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import batched, slices, text_or_empty
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: An opening or closing tag, a comment or a declaration. Quotes count after an equals sign only. Every loop is possessive
+#: and ``parse`` looks no further than the last ">", so each "<" is decided in time linear in what it covers.
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW}
@@ -47,39 +53,65 @@ _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 _IMPLIED["thead"] = _IMPLIED["tfoot"] = _IMPLIED["tbody"]
 _FURNITURE = {"head", "script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "audio", "video", "nav", "aside", "form", "button", "select", "input", "textarea", "label", "fieldset", "dialog", "menu", "search", "title", "datalist", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-_NAMES = re.compile(
-    r"(?:^|(?<=[\s_-]))(nav(?:bar|igation)?|menus?|topbar|header|masthead|footer|foot|sidebars?|side|aside|ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion|ted)?s?|banners?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|breadcrumbs?|pagination|pager|related|recommended|recommendations|comments?|commentlist|disqus|replies|respond|widgets?|skip|copyright|legal|disclaimer|toolbar|search)(?=$|[\s_-])",
-    re.I,
+#: Words of a class or id token that name furniture, alone or among words that say nothing.
+_STRONG = frozenset(
+    "nav navbar navigation menu menus topbar header masthead footer sidebar sidebars ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promoted banner banners "
+    "cookie cookies consent gdpr notice notices popup popups modal newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies respond".split()
 )
+#: Words that only suggest it: such an element goes if it is less dense than the threshold or mostly links.
+_WEAK = frozenset("side aside foot overlay share sharing social related recommended recommendations widget widgets skip copyright legal disclaimer toolbar search".split())
+_NEUTRAL = frozenset(
+    "site page pages global top bottom left right upper lower primary secondary inner outer box boxes block blocks bar bars wrap wrapper container area section list item items panel group row col column link links "
+    "button buttons btn icon icons strip zone slot unit region reader readers user view mobile desktop sticky fixed form post posts article articles story main google dfp js".split()
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "gone", "named")
+    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "gone", "hinted")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False, named: bool = False):
-        self.tag, self.parent, self.parts, self.gone, self.named = tag, parent, [], gone, named
+    def __init__(self, tag: str, parent: Node | None, gone: bool = False, hinted: bool = False):
+        self.tag, self.parent, self.parts, self.gone, self.hinted = tag, parent, [], gone, hinted
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+@lru_cache(1 << 14)
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a token of the class or id names furniture, names a header, suggests furniture."""
+    strong = header = weak = False
+    for token in value.split():
+        words = {w.lower() for w in _PARTS.findall(token)} - _NEUTRAL
+        if words and words <= _STRONG | _WEAK:
+            strong |= bool(words & _STRONG - {"header"})
+            header |= "header" in words
+            weak |= bool(words & _WEAK)
+    return strong, header, weak
+
+
+def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether its names only suggest so."""
     if tag in _FURNITURE:
-        return True
+        return True, False
     if tag in ("header", "footer"):
-        return not inside_article or tag == "footer"
+        return not inside_article or tag == "footer", False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    hinted = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if name in ("class", "id") and any(not inside_article or found.group(1).lower() != "header" for found in _NAMES.finditer(value)):
-            return True
+        if name in ("class", "id"):
+            strong, header, weak = _named(value)
+            if strong or header and not inside_article:
+                return True, False
+            hinted |= weak
         if name == "role" and value.strip().lower() in _ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            return True, False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return True, False
+    return False, hinted
 
 
 def parse(html: str) -> Node:
@@ -87,64 +119,73 @@ def parse(html: str) -> Node:
     root = node = Node("html", None)
     articles = 0
     at, n = 0, len(html)
+    stop = html.rfind(">") + 1  # no tag ends after it
     find = _TOKEN.search
+    open_: dict[str, int] = {}  # elements on the path by tag, so that nothing is looked for in vain
 
     def text(s: str) -> None:
         if s:
             node.parts.append(unescape(s) if "&" in s else s)
 
+    def leave(to: Node) -> None:
+        """Close all elements below ``to``."""
+        nonlocal node, articles
+        while node is not to:
+            articles -= node.tag in ("article", "main")
+            open_[node.tag] -= 1
+            node = node.parent
+
     while at < n:
-        m = find(html, at)
+        m = find(html, at, stop) if at < stop else None
         if m is None:
-            text(html[at:])
+            k = html.find("<!--", at)  # a comment that nothing ends
+            text(html[at : k if k >= 0 else n])
             break
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m.group(2)
         if name is None:
-            continue  # comments and declarations; CDATA in HTML is a comment
+            if m.group() in ("<!--", "<![CDATA["):  # CDATA in HTML is a comment
+                end = "-->" if m.group() == "<!--" else "]]>"
+                k = html.find(end, at)
+                at = k + 3 if k >= 0 else n
+            continue
         tag = name.lower()
-        if m.group(2):
-            up = node
+        if m.group(1):
+            up = node if open_.get(tag) else None
             while up is not None and up.tag != tag:
                 if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                     up = None
                     break
                 up = up.parent
             if up is not None and up is not root and tag not in ("html", "body"):
-                while node is not up:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
-                articles -= node.tag in ("article", "main")
-                node = up.parent
+                leave(up.parent)
             elif tag == "p":
                 node.parts.append(Node("p", node))
             continue
-        attributes = m.group(4) or ""
+        attributes = m.group(3) or ""
         if tag == "html":
             continue
         if tag == "body":
-            while node is not root:
-                node = node.parent
-            articles = 0
+            leave(root)
         if tag in _CLOSES_P or tag in _IMPLIED:
             ends, stops = _IMPLIED.get(tag, (None, None))
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and open_.get("p"):
                 up = node
                 while up is not None and up.tag != "p" and up.tag not in ("td", "th", "li", "div", "article", "section", "table", "button", "blockquote", "main", "body", "nav", "aside", "header", "footer"):
                     up = up.parent
                 if up is not None and up.tag == "p":
-                    node = up.parent
-            if ends:
+                    leave(up.parent)
+            if ends and any(open_.get(t) for t in ends):
                 up, last = node, None
                 while up is not None and up.tag not in stops:
                     if up.tag in ends:
                         last = up
                     up = up.parent
                 if last is not None:
-                    node = last.parent
-        child = Node(tag, node, _is_furniture(tag, attributes, articles > 0))
+                    leave(last.parent)
+        child = Node(tag, node, *_furniture(tag, attributes, articles > 0))
         node.parts.append(child)
         if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
@@ -153,6 +194,7 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
             continue
         node = child
+        open_[tag] = open_.get(tag, 0) + 1
         articles += tag in ("article", "main")
     return root
 
@@ -245,6 +287,9 @@ def blocks(top: Node, threshold: float) -> list[str]:
             elif p.gone:
                 if p.tag in _BLOCK:
                     flush()
+            elif p.hinted and (p.density < threshold or 2 * p.links > p.chars):
+                if p.tag in _BLOCK:
+                    flush()
             elif p.tag == "br":
                 run.append(" ")
             elif p.chars and p.links == p.chars and p.link_tags > 1 and p.tag in ("ul", "ol", "div", "section", "p", "table") and p.density < threshold:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag or declaration; quotes count after an equals sign only. All loops are possessive, and a search ends at the last
+#: ">", so each "<" is decided in time linear in what it covers.
+_TAG = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
@@ -14,20 +16,36 @@ _BREAK = frozenset("address article aside blockquote body br dd div dl dt fields
 _SPACE = re.compile(r"\s+")
 
 
+def _scan(html: str):
+    """(start, end, closing, tag or None, attributes) of each tag, comment and declaration. ``send`` moves on to a place."""
+    at, stop = 0, html.rfind(">") + 1
+    while at < stop and (m := _TAG.search(html, at, stop)):
+        at = m.end()
+        if m.group() == "<!--":
+            k = html.find("-->", at)
+            at = k + 3 if k >= 0 else len(html)
+        to = yield m.start(), at, bool(m.group(1)), m.group(2) and m.group(2).lower(), m.group(3)
+        if to is not None:
+            at = to
+            yield
+
+
+def _raw_end(html: str, tag: str, at: int):
+    return re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+
+
 def _tokens(html: str):
     """(start, end, closing, tag, attributes) of each tag; the content of raw-text elements has no tags."""
-    at = 0
-    while m := _TAG.search(html, at):
-        at = m.end()
-        if m.group(2) is None:
+    scan = _scan(html)
+    for start, at, closing, tag, attributes in scan:
+        if tag is None:
             continue
-        tag, closing = m.group(2).lower(), bool(m.group(1))
-        yield m.start(), at, closing, tag, m.group(3)
+        yield start, at, closing, tag, attributes
         if not closing and tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = _raw_end(html, tag, at)
             if end is None:
                 return
-            at = end.start()
+            scan.send(end.start())
 
 
 def outer(html: str | None, name: str, most: int | None = None) -> list[str]:
@@ -56,8 +74,8 @@ def outer(html: str | None, name: str, most: int | None = None) -> list[str]:
             elif most is not None and len(found) >= most and not any(k < most for k in open_):
                 break
     for k in open_:
-        following = next((f[0] for f in found[k + 1 :] if f[0] > found[k][0]), len(html))
-        found[k][1] = following if name in ("li", "p", "td", "tr", "option", "b") else len(html)
+        following = found[k + 1][0] if k + 1 < len(found) else len(html)
+        found[k][1] = following if name in ("a", "li", "p", "td", "tr", "option", "b") else len(html)
     out = [html[s:e] for s, e in found]
     return out if most is None else out[:most]
 
@@ -67,27 +85,27 @@ def text(html: str | None) -> str | None:
     if html is None:
         return None
     out, at, skip, skipped = [], 0, 0, None
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
+    scan = _scan(html)
+    for start, end, closing, tag, _ in scan:
         if not skip:
-            out.append(html[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+            out.append(html[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = m.group(2).lower()
         if skip:
             if tag == skipped:
-                skip += -1 if m.group(1) else 1
-        elif not m.group(1) and tag in _SKIP:
+                skip += -1 if closing else 1
+        elif not closing and tag in _SKIP:
             skip, skipped = 1, tag
             if tag in _RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at, skip = (end.end(), 0) if end else (len(html), 0)
+                raw = _raw_end(html, tag, at)
+                at, skip = (raw.end(), 0) if raw else (len(html), 0)
+                scan.send(at)
         elif tag in _BREAK:
             out.append(" ")
     if not skip:
-        out.append(html[at:])
+        rest = html[at:]
+        out.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     return _SPACE.sub(" ", unescape("".join(out))).strip()
 
 

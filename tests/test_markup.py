@@ -71,3 +71,14 @@ def test_entities():
     found = entities.grouped(tag("Dr. Ada Bell met Acme Corp in Paris and Paris on 3 May 1999."), {"PERSON": "p", "LOCATION": "l", "DATE": "d", "ORGANIZATION": "o"})
     assert found == {"p": ["Ada Bell"], "l": ["Paris"], "d": ["3 May 1999"], "o": ["Acme Corp"]}
     assert entities.clean_latin("a  日 b") == "a b"
+
+
+def test_truncated_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<a" * 500_000, "<" + "a" * 1_000_000, "<a " * 300_000 + ">", '<a b="' * 200_000 + ">", "<a b='>" * 100_000, "<!--" * 200_000, "</p " * 200_000 + ">", "<script>" + "</script " * 100_000):
+        markup.text(html), markup.outer(html, "a"), markup.attribute(html, "href")
+    assert time.time() - began < 8
+    assert markup.text("<a" * 1000) == "<a" * 1000 and markup.text("x <p title=it's>y don't</p> z<!-- c") == "x y don't z"
+    assert markup.outer('<a title="x>y" href=z>t</a>', "a") == ['<a title="x>y" href=z>t</a>']

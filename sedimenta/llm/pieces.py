@@ -8,8 +8,10 @@ partitioning and a rerun agrees. Rate 0 gives the library's own segmentation.
 
 No piece of such a vocabulary joins text across a blank that follows a non-blank, nor across a line feed, so words are
 segmented on their own: thousands at once in numpy (a round merges the best candidate of every word). A worker
-remembers the segmentation without dropout of each distinct word and the candidates it meets; an occurrence whose draws
-skip none of these has that segmentation, any other is segmented anew with its own draws.
+remembers segmentations as a tree: a node is a word and the candidates skipped so far, it knows the merges that follow
+if none of them is skipped, and the first of an occurrence's draws that skips one leads to a child. So each occurrence
+gets what its own draws give, while frequent outcomes are looked up. A word of over ``LONG`` characters has an agenda of
+its own, a heap, which takes n log n steps.
 
 Lossless: characters without a piece become byte pieces, and so does a literal U+2581, which the library would turn
 into a blank.
@@ -21,8 +23,10 @@ rows. Further columns don't matter.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,31 @@ from sedimenta.llm.common import U64, batched, buffers, documents, fmix, slices
 
 SEED = 42
 DROPOUT = 0.1
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Segmentations that a worker remembers before it starts anew.
+REMEMBERED = 300_000
+#: Words of more characters are segmented alone and not remembered.
+LONG = 128
 _BLANK = "▁"
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 _NEVER = np.iinfo(np.int64).max
+_ALL = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """``fmix`` of one number."""
+    x &= _ALL
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+    return x ^ x >> 33
+
+
+def _span(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of a candidate: where its two symbols begin in the word and where the second ends."""
+    return fmix(begin.astype(U64) << U64(42) | middle.astype(U64) << U64(21) | end.astype(U64))
+
+
+def _in_word(word: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return fmix(span + word.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 class Pieces:
@@ -88,6 +112,7 @@ class Pieces:
         self.deepest = int(np.diff(self.first).max())
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.table: dict[int, tuple[int, int]] | None = None
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (fmix(keys.astype(U64)) >> U64(64 - self.bits)).astype(np.int64)
@@ -107,31 +132,48 @@ class Pieces:
             at = at + 1
         return ids, ranks
 
-    def segment(self, words: list[str], keys: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and how many each has. ``keys``: the 64-bit key of each word's dropout.
+    def _symbols(self, code: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        return np.where((self.chars[at] == code) & (code != 0x2581), self.char_ids[at], self.unknown)
+
+    def _with_bytes(self, sym: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and the number of ids of each symbol; ``code`` is the first character of each."""
+        odd = sym == self.unknown
+        width = np.ones(len(sym), np.int64)
+        c = code[odd].astype(np.int64)
+        width[odd] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        ids = np.repeat(sym, width)
+        if len(c):
+            heads = (np.cumsum(width) - width)[odd]
+            k = width[odd]
+            first = np.where(k == 1, c, np.where(k == 2, 0xC0 | c >> 6, np.where(k == 3, 0xE0 | c >> 12, 0xF0 | c >> 18)))
+            ids[heads] = self.byte_id[first]
+            for j in range(1, 4):
+                m = k > j
+                ids[heads[m] + j] = self.byte_id[0x80 | c[m] >> 6 * (k[m] - 1 - j) & 0x3F]
+        return ids, width
+
+    def segment(self, words: list[str], skips: tuple[np.ndarray, np.ndarray] | None = None, done: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has. ``skips``: candidates not to merge, as words' numbers and span hashes.
 
-        ``met`` gets the candidates: arrays of the word's number and the span's hash.
+        ``done`` gets the merges in order: arrays of the words' numbers and the spans' hashes.
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
-        sym = np.where((self.chars[at] == code) & (code != 0x2581), self.char_ids[at], self.unknown)
+        sym = self._symbols(code)
         word = np.repeat(np.arange(len(words)), sizes)
         begin = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.arange(len(code))  # in ``code``; of a symbol its first character
-        limit = U64(min(int(dropout * 2.0**64), (1 << 64) - 1))
+        barred = np.zeros(0, U64) if skips is None else np.sort(_in_word(*skips))
 
         def candidates(i: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Merging the symbols i and i + 1, where the latter ends before ``last``."""
             ids, ranks = self.merged(sym[i], sym[i + 1])
-            some = np.flatnonzero(ranks != _NEVER)
-            if (dropout > 0 or met is not None) and len(some):
+            if len(barred):
+                some = np.flatnonzero(ranks != _NEVER)
                 j = i[some]
-                span = fmix(begin[j].astype(U64) << U64(42) | begin[j + 1].astype(U64) << U64(21) | last[some].astype(U64))
-                if met is not None:
-                    met.append((word[j], span))
-                if dropout > 0:
-                    ranks[some[fmix(keys[word[j]] ^ span) < limit]] = _NEVER
+                x = _in_word(word[j], _span(begin[j], begin[j + 1], last[some]))
+                ranks[some[barred[np.minimum(np.searchsorted(barred, x), len(barred) - 1)] == x]] = _NEVER
             return ids, ranks
 
         out_word, out_sym, out_place = [], [], []
@@ -163,6 +205,8 @@ class Pieces:
                 best, span = best[going], span[going]
             hit = np.flatnonzero(rank == np.repeat(best, span))
             hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]  # the leftmost of each word
+            if done is not None:
+                done.append((word[hit], _span(begin[hit], begin[hit + 1], lasts(hit))))
             sym[hit] = into[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -174,24 +218,46 @@ class Pieces:
             fresh = fresh[word[fresh] == word[fresh + 1]]
             if len(fresh):
                 into[fresh], rank[fresh] = candidates(fresh, lasts(fresh))
+        if not out_word:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         word, sym, place = np.concatenate(out_word), np.concatenate(out_sym), np.concatenate(out_place)
         order = np.argsort(place, kind="stable")
         word, sym, place = word[order], sym[order], place[order]
-        odd = sym == self.unknown
-        width = np.ones(len(sym), np.int64)
-        c = code[place[odd]].astype(np.int64)
-        width[odd] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-        ids = np.repeat(sym, width)
-        if len(c):
-            heads = (np.cumsum(width) - width)[odd]
-            k = width[odd]
-            first = np.where(k == 1, c, np.where(k == 2, 0xC0 | c >> 6, np.where(k == 3, 0xE0 | c >> 12, 0xF0 | c >> 18)))
-            ids[heads] = self.byte_id[first]
-            for j in range(1, 4):
-                m = k > j
-                ids[heads[m] + j] = self.byte_id[0x80 | c[m] >> 6 * (k[m] - 1 - j) & 0x3F]
+        ids, width = self._with_bytes(sym, code[place])
         return ids, np.bincount(word, weights=width, minlength=len(words)).astype(np.int64)
 
+    def long(self, word: str, key: int, limit: int) -> np.ndarray:
+        """Ids of one word, by a heap of candidates (rank, first character, ...); those of a draw under ``limit`` are never put in."""
+        code = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n = len(code)
+        symbols = self._symbols(code)
+        into, rank = self.merged(symbols[:-1], symbols[1:])
+        at = np.arange(n - 1)
+        if limit:
+            rank[fmix(U64(key) ^ _span(at, at + 1, at + 2)) < U64(limit)] = _NEVER
+        some = np.flatnonzero(rank != _NEVER)
+        heap = [(r, i, i + 1, i + 2, t) for r, i, t in zip(rank[some].tolist(), some.tolist(), into[some].tolist())]
+        heapq.heapify(heap)
+        if self.table is None:
+            self.table = dict(zip(self.pair_keys.tolist(), zip(self.pair_ids.tolist(), self.pair_ranks.tolist())))
+        sym, end, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))  # a symbol is named by its first character
+        pop, push, known = heapq.heappop, heapq.heappush, self.table.get
+        while heap:
+            _, i, j, e, t = pop(heap)
+            if sym[i] < 0 or end[i] != j or end[j] != e:
+                continue  # one of the two has merged since
+            sym[i], sym[j], end[i] = t, -1, e
+            if e < n:
+                before[e] = i
+            for a, b in ((before[i], i), (i, e)):
+                if a >= 0 and b < n:
+                    found = known(sym[a] << 20 | sym[b])
+                    if found is not None and not (limit and _mix(key ^ _mix(a << 42 | b << 21 | end[b])) < limit):
+                        push(heap, (found[1], a, b, end[b], found[0]))
+        left = np.array(sym, np.int64)
+        place = np.flatnonzero(left >= 0)
+        return self._with_bytes(left[place], code[place])[0]
+
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the rows' ids and their offsets, without the blank put before each text."""
         size = self.raw_at[ids + 1] - self.raw_at[ids]
@@ -207,41 +273,97 @@ class Pieces:
         return data[keep], at - gone
 
 
+class _Runs:
+    """Runs of numbers, one a node, in one buffer that grows."""
+
+    def __init__(self, kind):
+        self.flat, self.used = np.zeros(1 << 12, kind), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of ``nodes`` end to end, and each number's place in its run."""
+        size = self.size[nodes]
+        ends = np.cumsum(size)
+        nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        return self.flat[np.repeat(self.at[nodes], size) + nth], nth
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), self.flat.dtype)])
+        self.flat[self.used : need] = values
+        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used = need
+
+
 class Coder:
-    """Texts to ids, with a memory of words' segmentations without dropout."""
+    """Texts to ids, with a memory of segmentations."""
 
     def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
-        self.pieces, self.seed, self.dropout = Pieces(path), seed, dropout
+        self.pieces, self.seed, self.limit = Pieces(path), seed, min(int(dropout * 2.0**64), _ALL)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.spans, self.span_at, self.span_size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        met: list | None = [] if self.dropout > 0 else None
-        ids, size = self.pieces.segment(words, np.zeros(len(words), U64), 0.0, met)
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-        self.flat, self.size = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.size, size])
-        if met is not None:
-            word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in met)])
-            span = np.concatenate([np.zeros(0, U64), *(s for _, s in met)])
-            n = np.bincount(word, minlength=len(words)).astype(np.int64)
-            self.span_at = np.concatenate([self.span_at, len(self.spans) + np.cumsum(n) - n])
-            self.spans, self.span_size = np.concatenate([self.spans, span[np.argsort(word, kind="stable")]]), np.concatenate([self.span_size, n])
-
-    def _skips(self, slot: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Numbers of the occurrences whose draws skip a candidate."""
-        limit = U64(min(int(self.dropout * 2.0**64), (1 << 64) - 1))
-        left, found, k = np.flatnonzero(self.span_size[slot] > 0), [], 0
+        self.number: dict[str, int] = {}  # the root node of each word
+        self.child: dict[int, int] = {}  # node << 16 | number of the merge that is skipped
+        self.word: list[str] = []
+        # of each node its ids, the merges still open to a skip, the candidates skipped
+        self.ids, self.spans, self.skips = _Runs(np.int32), _Runs(U64), _Runs(U64)
+
+    def _learn(self, words: list[str], skips: np.ndarray | None = None, n_skips: int = 0, known: np.ndarray | int = 0) -> None:
+        """New nodes of ``n_skips`` skips each; ``known``: how many merges of each come before its last skip, so are decided."""
+        done: list = []
+        number = np.arange(len(words))
+        ids, size = self.pieces.segment(words, None if skips is None else (np.repeat(number, n_skips), skips), done)
+        self.skips.add(np.zeros(0, U64) if skips is None else skips, np.full(len(words), n_skips))
+        self.ids.add(ids.astype(np.int32), size)
+        word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in done)])
+        span = np.concatenate([np.zeros(0, U64), *(s for _, s in done)])
+        order = np.argsort(word, kind="stable")
+        n = np.bincount(word, minlength=len(words)).astype(np.int64)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        known = np.broadcast_to(known, n.shape)
+        self.spans.add(span[order][nth >= np.repeat(known, n)], np.maximum(n - known, 0))
+        self.word += words
+
+    def _children(self, keys: np.ndarray, depth: np.ndarray, n_skips: int) -> np.ndarray:
+        """The nodes that ``keys`` (node << 16 | merge) lead to, by their ``n_skips``-th skip; ``depth``: how many merges precede that one."""
+        at = np.array([*map(self.child.get, keys.tolist(), repeat(-1))], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            parent = keys[new] >> 16
+            skips = np.empty((len(new), n_skips), U64)
+            skips[:, :-1] = self.skips.of(parent)[0].reshape(len(new), n_skips - 1)
+            skips[:, -1] = self.spans.flat[self.spans.at[parent] + (keys[new] & 0xFFFF)]
+            first = len(self.word)
+            self._learn([*map(self.word.__getitem__, parent.tolist())], skips.ravel(), n_skips, depth[new])
+            at[new] = first + np.arange(len(new))
+            self.child.update(zip(keys[new].tolist(), at[new].tolist()))
+        return at
+
+    def _drawn(self, node: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The nodes that occurrences of the words ``node`` with the keys ``own`` end at."""
+        node = node.copy()
+        left = np.flatnonzero(self.spans.size[node] > 0)
+        depth = np.zeros(len(node), np.int64)
+        n_skips = 0
         while len(left):
-            s = slot[left]
-            hit = fmix(keys[left] ^ self.spans[self.span_at[s] + k]) < limit
-            found.append(left[hit])
-            k += 1
-            left = left[~hit & (self.span_size[s] > k)]
-        return np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+            s = node[left]
+            size = self.spans.size[s]
+            span, nth = self.spans.of(s)
+            skip = fmix(np.repeat(own[left], size) ^ span) < U64(self.limit)
+            first = np.minimum.reduceat(np.where(skip, nth, _NEVER), np.cumsum(size) - size)
+            hit = first != _NEVER
+            left, first, s = left[hit], first[hit], s[hit]
+            if not len(left):
+                break
+            n_skips += 1
+            keys, some, inverse = np.unique(s << 16 | first, return_index=True, return_inverse=True)
+            depth[left] += first
+            node[left] = self._children(keys, depth[left][some], n_skips)[inverse]
+            left = left[self.spans.size[node[left]] > 0]
+        return node
 
     def __call__(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         find = _WORD.findall
@@ -251,25 +373,32 @@ class Coder:
         first = np.concatenate([[0], np.cumsum(counts)])
         if not words:
             return np.zeros(0, np.int32), first
-        new = set(words).difference(self.number)
-        if len(self.number) + len(new) > REMEMBERED and self.number:
+        if len(self.word) > REMEMBERED:
             self._forget()
-            new = set(words)
+        distinct = set(words)
+        long = {w for w in distinct if len(w) > LONG}
+        new = [w for w in distinct if w not in self.number and w not in long]
         if new:
-            todo = list(new)
-            self.number.update(zip(todo, range(len(self.number), len(self.number) + len(todo))))
-            self._learn(todo)
-        slot = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        begin, size, flat = self.at[slot], self.size[slot], self.flat
-        if self.dropout > 0:
+            self.number.update(zip(new, range(len(self.word), len(self.word) + len(new))))
+            self._learn(new)
+        number = self.number if not long else {**dict.fromkeys(long, -1), **{w: self.number[w] for w in distinct - long}}
+        node = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        own = np.zeros(len(words), U64)
+        if self.limit:
             doc = np.fromiter((xxhash.xxh64_intdigest(k, self.seed) for k in keys), U64, len(keys))
             place = (np.arange(len(words)) - np.repeat(first[:-1], counts)).astype(U64)
             own = fmix(np.repeat(doc, counts) + place * U64(0x9E3779B97F4A7C15))
-            anew = self._skips(slot, own)
-            if len(anew):
-                ids, n = self.pieces.segment([words[i] for i in anew.tolist()], own[anew], self.dropout)
-                begin[anew], size[anew] = len(flat) + np.cumsum(n) - n, n
-                flat = np.concatenate([flat, ids.astype(np.int32)])
+        short = np.flatnonzero(node >= 0)
+        if self.limit:
+            node[short] = self._drawn(node[short], own[short])
+        begin, size, flat = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), self.ids.flat
+        begin[short], size[short] = self.ids.at[node[short]], self.ids.size[node[short]]
+        if long:
+            alone = np.flatnonzero(node < 0)
+            each = [self.pieces.long(words[i], int(own[i]), self.limit).astype(np.int32) for i in alone.tolist()]
+            n = np.array([len(x) for x in each])
+            begin[alone], size[alone] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate([flat, *each])
         ends = np.cumsum(size)
         ids = flat[np.arange(int(ends[-1])) - np.repeat(ends - size - begin, size)]
         return ids, np.concatenate([[0], ends])[first]

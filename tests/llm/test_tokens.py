@@ -84,14 +84,47 @@ def _agenda(pieces, word, key, rate):
 
 
 def test_dropout_as_agenda():
-    p = P.Pieces(MODEL)
+    c = P.Coder(MODEL, 1, 0.1)
+    p = c.pieces
     words = [" international", " hello", " x", "unbelievable", " Donaudampfschiff", " été", "aaaaaaaa"]
     keys = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x123456789ABCDEF)
     for rate in (0.0, 0.1, 0.5, 0.9):
-        ids, size = p.segment(words, keys, rate)
-        at = np.r_[0, np.cumsum(size)]
-        for k, w in enumerate(words):
-            assert ids[at[k] : at[k + 1]].tolist() == _agenda(p, w, int(keys[k]), rate)
+        c.limit = int(rate * 2.0**64)
+        c._forget()
+        c.number.update(zip(words, range(len(words))))
+        c._learn(words)
+        for again in range(3):  # learnt, then remembered
+            node = c._drawn(np.arange(len(words)), keys) if rate else np.arange(len(words))
+            for k, w in enumerate(words):
+                at, n = c.ids.at[node[k]], c.ids.size[node[k]]
+                want = _agenda(p, w, int(keys[k]), rate)
+                assert c.ids.flat[at : at + n].tolist() == want == p.long(w, int(keys[k]), c.limit).tolist()
+
+
+def test_long_words(docs):
+    import time
+
+    import sentencepiece
+
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdefghijklmnopeeeéß"), 300_000).tolist())
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    began = time.time()
+    plain, _ = P.Coder(MODEL, 1, 0.0)([text], ["d"])
+    varied, off = P.Coder(MODEL, 1, 0.1)([text], ["d"])
+    assert time.time() - began < 30
+    assert plain.tolist() == sp.encode(text) and len(varied) > len(plain)
+    data, _ = P.Coder(MODEL, 1, 0.1).pieces.decode(varied.astype(np.int64), off)
+    assert data.tobytes().decode() == text
+    word = " " + text[:200]
+    ids, _ = P.Coder(MODEL, 1, 0.3)([text[:200] + " x"], ["k"])
+    import xxhash
+
+    from sedimenta.llm.common import fmix
+
+    own = int(fmix(np.array([xxhash.xxh64_intdigest("k", 1)], np.uint64))[0])
+    want = _agenda(P.Pieces(MODEL), word, own, 0.3)
+    assert ids[: len(want)].tolist() == want
 
 
 def test_lossless_and_varied(docs):
@@ -116,16 +149,15 @@ def test_each_occurrence_draws():
     n, word = 3000, " international"
     c = P.Coder(MODEL, 1, 0.1)
     ids, off = c([(word * n)[1:]], ["d"])
-    met = []
-    plain, _ = c.pieces.segment([word], np.zeros(1, np.uint64), 0.0, met)
-    spans = len({int(s) for _, x in met for s in x})
+    done = []
+    plain, _ = c.pieces.segment([word], None, done)
+    merges = sum(len(x) for _, x in done)
     place = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keys = fmix(np.uint64(xxhash.xxh64_intdigest("d", 1)) + place)
     want = [_agenda(c.pieces, word, int(k), 0.1) for k in keys[:200]]
     assert ids[: sum(map(len, want))].tolist() == [i for w in want for i in w]
-    each = [tuple(c.pieces.segment([word], keys[k : k + 1], 0.1)[0].tolist()) for k in range(n)]
+    each = [tuple(c.pieces.long(word, int(k), c.limit).tolist()) for k in keys]
     assert ids.tolist() == [i for w in each for i in w] and len(set(each)) > 8
-    drawn = np.zeros(n, bool)
-    drawn[c._skips(np.full(n, c.number[word]), keys)] = True
-    assert abs(np.mean(~drawn) - 0.9**spans) < 0.03
-    assert all(e == tuple(plain.tolist()) for e, d in zip(each, drawn) if not d)
+    undrawn = c._drawn(np.full(n, c.number[word]), keys) == c.number[word]
+    assert abs(np.mean(undrawn) - 0.9**merges) < 0.03
+    assert all(e == tuple(plain.tolist()) for e, u in zip(each, undrawn) if u)

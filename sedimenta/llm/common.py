@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Rows of text are handled in slices of about this many bytes, whatever the size of the Arrow batch.
@@ -61,6 +63,19 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+@F.arrow_udf(T.BinaryType())
+def packed(text: pa.Array) -> pa.Array:
+    """Texts compressed, before they are shuffled."""
+    data, off = buffers(text)
+    raw, z = data.tobytes(), zstandard.ZstdCompressor(level=1)
+    return pa.array([z.compress(raw[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
+
+
+def unpacked(column: pa.Array | list[bytes]) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(b) for b in (column if isinstance(column, list) else column.to_pylist())]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n+1 offsets into them; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -281,30 +281,45 @@ def near_pairs(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 # --- components ---------------------------------------------------------------------------------------------------
 
 
-def _forest(batches):
-    """Links replaced by links from each node to the least of its local component."""
-    parent: dict[int, int] = {}
+#: Nodes of which the local union-find remembers links at a time.
+_NODES = 1 << 20
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if find(x) != x]
-    for at in range(0, len(nodes), 1 << 16):
-        part = nodes[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
-
-
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(u, v): for each node that has a link and isn't the least of its component, that least node."""
-    links = written(pairs.select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(_forest, "u long, v long"), "links")
+def _forest(kind: str):
+    """Links replaced by links from each node to the least of its component among the links at hand."""
+    of = pa.int64() if kind == "long" else pa.string()
+
+    def emit(parent, find):
+        nodes = [x for x in parent if find(x) != x]
+        for at in range(0, len(nodes), 1 << 16):
+            part = nodes[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, of), pa.array([find(x) for x in part], of)], names=["u", "v"])
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > _NODES:  # what is left is the rounds' work
+                yield from emit(parent, find)
+                parent.clear()
+        yield from emit(parent, find)
+
+    return run
+
+
+def components(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
+    """(u, v): for each node that has a link and isn't the least of its component, that least node. ``kind``: long or string."""
+    links = written(pairs.select(F.col(a).cast(kind), F.col(b).cast(kind)).mapInArrow(_forest(kind), f"u {kind}, v {kind}"), "links")
     while True:
         # large star: every neighbour above a node is linked to the node's least neighbour
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

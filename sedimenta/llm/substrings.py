@@ -30,12 +30,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sedimenta.llm.common import U64, batched, buffers, documents, powers, prefix_hash, slices, span_hash, text_or_empty, written
+from sedimenta.llm.common import U64, batched, buffers, documents, packed, powers, prefix_hash, slices, span_hash, text_or_empty, unpacked, written
 
 LENGTH = 200
 GRAM = 64
@@ -178,17 +176,6 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int
 # --- on Spark -------------------------------------------------------------------------------------------------------
 
 
-@F.arrow_udf(T.BinaryType())
-def _packed(text: pa.Array) -> pa.Array:
-    z = zstandard.ZstdCompressor(level=1)
-    return pa.array([z.compress(t.encode()) for t in text.to_pylist()], pa.binary())
-
-
-def _unpack(column: pa.Array) -> list[bytes]:
-    z = zstandard.ZstdDecompressor()
-    return [z.decompress(b) for b in column.to_pylist()]
-
-
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, th, text): equal ids with equal texts are alike in all that follows."""
     return batched(docs).select(F.col(key).cast("string").alias("id"), text_or_empty(text).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
@@ -213,7 +200,7 @@ def _context_rows(batches):
     """The bytes of the contexts that rows (packed text, list of contexts) name."""
     for b in slices(batches, "packed"):
         rows = []
-        for raw, contexts in zip(_unpack(b.column(0)), b.column(1).to_pylist()):
+        for raw, contexts in zip(unpacked(b.column(0)), b.column(1).to_pylist()):
             rows += [(c["gram"], c["context"], c["copies"], c["place"], c["strings"], raw[c["lo"] : c["lo"] + c["strings"] - 1 + LENGTH]) for c in contexts]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
@@ -280,7 +267,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     mixed = seen.filter("mixed")
     contexts = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "lo", "strings", "place")).alias("w")).select("gram", "context", "copies", "w.*"), "contexts")
     wanted = contexts.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "context", "copies", "lo", "strings", "place")).alias("contexts"))
-    texts = keyed.select("id", "th", _packed("text").alias("packed"))
+    texts = keyed.select("id", "th", packed("text").alias("packed"))
     # one of several equal rows is enough
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("packed", "contexts").mapInArrow(_context_rows, _CONTEXT)
     found = written(found.dropDuplicates(["gram", "context"]), "context-bytes")
@@ -316,7 +303,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     def cut(batches):
         for b in slices(batches, "packed"):
             rows = []
-            for raw, spans in zip(_unpack(b.column(1)), b.column(2).to_pylist()):
+            for raw, spans in zip(unpacked(b.column(1)), b.column(2).to_pylist()):
                 runs = merged([(x["s"], x["e"]) for x in spans or ()], len(raw))
                 edges = [0, *[p for r in runs for p in r], len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2]))
@@ -326,7 +313,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
     kind = docs.schema[key].dataType.simpleString()
     spans = repeats(docs, key, text, block)
-    texts = _keyed(docs, key, text).select("id", "th", _packed("text").alias("packed"))
+    texts = _keyed(docs, key, text).select("id", "th", packed("text").alias("packed"))
     joined = texts.join(spans, texts["id"].eqNullSafe(spans["id"]) & (texts["th"] == spans["th"]), "left")
     return joined.select(texts["id"].cast(kind).alias(key), "packed", "spans").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 

@@ -58,7 +58,10 @@ def test_near_duplicates(docs):
     assert all(got[100 + i].class_id == got[i].class_id for i in range(10))
     assert all(got[200 + i].class_id == 0 and got[200 + i].n_links >= 5 for i in range(5))
     assert got[301].class_id == 300 and got[30].n_links == 0 and got[30].class_id == 30
+    assert got[None].class_id is None and got[None].n_links == 0
     assert M.near_duplicates(docs([])).collect() == []
+    with pytest.raises(TypeError):
+        M.near_duplicates(docs(rows).selectExpr("cast(doc_id AS string) AS doc_id", "text"))
 
 
 def test_chains_as_brute_force(docs):
@@ -79,6 +82,19 @@ def test_chains_as_brute_force(docs):
     for _ in rows:
         for a, b in near:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(docs(rows)).collect()}
-    assert got == {i: (root[i], sum(a == i for a, _ in near)) for i, _ in rows}
+    want = {i: (root[i], sum(a == i for a, _ in near)) for i, _ in rows}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(docs(rows)).collect()} == want
+    # parts cut into blocks, a task a pair of these
+    assert {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(docs(rows), part_bytes=2000).collect()} == want
     assert len(near) > 60
+    like = {(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and _like(rows[a][1], rows[b][1]) >= M.LIKE}
+    assert len(near) >= 0.95 * len(like)
+
+
+def test_query_links_every_document(docs, folder, spark):
+    rows = ROWS + [(100 + i, t + " tail") for i, t in ROWS[:10]] + [(200 + i, ROWS[0][1]) for i in range(5)] + [(300, None), (301, ""), (302, "")]
+    got = {r.doc_id: r for r in M.op7_fingerprints(spark, folder(documents=docs(rows))).collect()}
+    plain = {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(docs(rows)).collect()}
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == plain and len(got) == len(rows)
+    texts = {i: t or "" for i, t in rows}
+    assert all(r.n_links == sum(j != i and _like(texts[i], texts[j]) >= M.LIKE for j in texts) for i, r in got.items())

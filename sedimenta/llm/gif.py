@@ -3,14 +3,16 @@
 ``decode`` reads a GIF file: LZW code streams, global and local palettes, interlacing, transparency and the disposal of
 frames, giving timed frames composed on the canvas. ``frames`` makes one row a frame of a table of files, with colour
 histograms as columns. ``encode_gray`` stores bytes losslessly as the 8-bit samples of a greyscale GIF, in frames of 64
-columns, and ``payload`` reads them back from the file.
+columns; ``stored`` makes a table of such files, and ``read_back`` reads payload and composed frames from their bytes.
 
-Code widths follow from the position after the last clear code, so whole runs of codes are packed and unpacked in
-numpy; only the dictionary itself is a Python loop.
+Decoding is numpy throughout: code widths follow from the position after the last clear code, so runs of codes are
+unpacked at once; a code's string is a copy of earlier output, so lengths and bytes are found by pointer jumping.
+Encoding has one Python loop, the dictionary itself.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; a text of any length is stored whole, one frame
-for each 65,535 rows; a null or damaged file gives one row with ``error`` set and null columns; equal inputs give equal
-files. Repeated rows and further columns don't matter; no rows give no rows.
+for each 65,535 rows; a null or damaged file, one without an image, and one whose images or canvas have more than
+``max_pixels`` pixels (a documented bound, as a small file can declare 65,535 x 65,535) gives one row with ``error`` set
+and null columns; equal inputs give equal files. Repeated rows and further columns don't matter; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import batched, documents, slices, text_or_empty
+from sedimenta.llm.common import batched, documents, slices, text_or_empty, written
 
 WIDTH = 64
 MAX_ROWS = 65535
 BINS = 16
+#: Pixels of an image or canvas beyond which a file is refused.
+MAX_PIXELS = 1 << 26
 _MAX_CODES = 1 << 12
 
 
@@ -70,79 +74,90 @@ def _widths(n: int, root: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(j)).astype(np.int64) + 1, root + 1, 12)
 
 
+_WIDTH_8 = _widths(_MAX_CODES + 64, 8)
+_OFFSET_8 = np.concatenate([[0], np.cumsum(_WIDTH_8)])
+
+
 def lzw_encode(data: bytes) -> bytes:
     codes = np.array(_codes(data), np.int64)
     clear = np.flatnonzero(codes == 256)
-    place = np.arange(len(codes))
-    since = place - clear[np.maximum(np.searchsorted(clear, place, "left") - 1, 0)]
-    width = _widths(int(since.max()) + 1, 8)[np.maximum(since, 1) - 1]
-    bit = np.arange(12)
-    bits = (codes[:, None] >> bit & 1).astype(np.uint8)[bit < width[:, None]]
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def lzw_decode(data: bytes, root: int) -> bytes:
-    """Any GIF code stream, with early, late or missing clear codes and a missing end code."""
-    if not 1 <= root <= 11:
+    since = np.arange(len(codes)) - np.repeat(clear, np.diff(np.r_[clear, len(codes)]))
+    since[clear[1:]] = np.diff(clear)  # a clear code has the width of the run that it ends
+    width = _WIDTH_8[np.maximum(since, 1) - 1]
+    ends = np.cumsum(width)
+    at = ends - width
+    value = codes << (at & 7)  # 19 bits at most, none shared
+    n, byte = int(ends[-1] + 7) >> 3, at >> 3
+    out = np.bincount(byte, value & 0xFF, n + 2) + np.bincount(byte + 1, value >> 8 & 0xFF, n + 2) + np.bincount(byte + 2, value >> 16, n + 2)
+    return out[:n].astype(np.uint8).tobytes()
+
+
+def _strings(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The samples of a run of codes between clear codes, at least ``most`` if there are so many."""
+    n, room = len(codes), _MAX_CODES - clear - 2
+    k = np.arange(n)
+    plain = codes < clear
+    entry = codes - (clear + 2)  # entry e is the string of code e and the first sample of code e + 1
+    if not (plain | ((entry >= 0) & (entry < np.minimum(k, room)))).all():
+        raise ValueError("bad code")
+    entry = np.where(plain, k, entry)
+    up, depth = entry, np.where(plain, 0, 1)
+    while True:
+        more = depth[up]
+        if not more.any():
+            break
+        depth, up = depth + more, up[up]
+    ends = np.cumsum(depth + 1)
+    if ends[-1] > most:
+        n = int(np.searchsorted(ends, most)) + 1
+        plain, entry, depth, ends, codes = plain[:n], entry[:n], depth[:n], ends[:n], codes[:n]
+    begin = ends - depth - 1
+    source = (np.arange(int(ends[-1])) - np.repeat(begin - begin[entry], depth + 1)).astype(np.int32)
+    for _ in range(int(2 * depth.max() + 1).bit_length()):
+        source = source[source]
+    out = np.zeros(len(source), np.uint8)
+    out[begin[plain]] = codes[plain]
+    return out[source]
+
+
+def lzw_decode(data: bytes, root: int, most: int) -> np.ndarray:
+    """The first ``most`` samples of any GIF code stream, with early, late or missing clear codes and a missing end code."""
+    if not 1 <= root <= 8:
         raise ValueError("bad code size")
     clear, end = 1 << root, (1 << root) + 1
-    roots = [bytes([i & 0xFF]) for i in range(clear)] + [b"", b""]
-    raw = np.zeros(len(data) + 4, np.int64)
+    raw = np.zeros(len(data) + 4, np.int32)
     raw[: len(data)] = np.frombuffer(data, np.uint8)
     total = len(data) * 8
-    span = _MAX_CODES + 64
-    widths = _widths(span, root)
-    offset = np.concatenate([[0], np.cumsum(widths)])
-    out: list[bytes] = []
-    emit = out.append
-    at, table, prev, done = 0, list(roots), b"", 0
-    while at < total:
-        # codes up to the next clear code; past the span all are 12 bits wide
-        if done:
-            place = at + 12 * np.arange(span)
-            width = np.full(span, 12)
-        else:
-            place, width = at + offset[:-1], widths
-        fits = place + width <= total
-        place, width = place[fits], width[fits]
-        if not len(place):
-            break
-        byte = place >> 3
-        value = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
-        codes = value >> (place & 7) & ((1 << width) - 1)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
-        n = int(stop[0]) if len(stop) else len(codes)
-        add = table.append
-        room = _MAX_CODES - len(table)
-        for code in codes[:n].tolist():
-            if not prev:
-                entry = table[code]
-            elif code < len(table):
-                entry = table[code]
-                if room > 0:
-                    add(prev + entry[:1])
-                    room -= 1
-            elif code == len(table) and room > 0:
-                entry = prev + prev[:1]
-                add(entry)
-                room -= 1
-            else:
-                raise ValueError("bad code")
-            if not entry:
-                raise ValueError("bad code")
-            emit(entry)
-            prev = entry
-        if len(stop):
-            at = int(place[n] + width[n])
-            if codes[n] == end:
+    widths = _WIDTH_8 if root == 8 else _widths(_MAX_CODES + 64, root)
+    offset = _OFFSET_8 if root == 8 else np.concatenate([[0], np.cumsum(widths)])
+    out: list[np.ndarray] = []
+    at, have, ended = 0, 0, False
+    while at < total and have < most and not ended:
+        run, size = [], len(widths)
+        place, width = at + offset[:-1], widths
+        while True:  # codes up to the next clear code; those beyond a full table have 12 bits
+            fits = int(np.searchsorted(place + width, total, "right"))
+            place, width = place[:fits], width[:fits]
+            byte = place >> 3
+            codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7)) & ((1 << width) - 1)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            if len(stop):
+                n = int(stop[0])
+                run.append(codes[:n])
+                at, ended = int(place[n] + width[n]), codes[n] == end
                 break
-            table, prev, done = list(roots), b"", 0
-        else:
-            at = int(place[-1] + width[-1])
-            done = 1
-            if len(codes) < span:
+            run.append(codes)
+            if fits < size:
+                at = total
                 break
-    return b"".join(out)
+            at = int(place[-1] + width[-1])
+            size *= 2
+            place, width = at + 12 * np.arange(size), np.full(size, 12)
+        codes = np.concatenate(run)
+        if len(codes):
+            out.append(_strings(codes, clear, most - have))
+            have += len(out[-1])
+    return np.concatenate(out)[:most] if out else np.zeros(0, np.uint8)
 
 
 # --- files --------------------------------------------------------------------------------------------------------
@@ -197,7 +212,7 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
 
 
-def images(data: bytes) -> tuple[int, int, list[Image]]:
+def images(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[Image]]:
     """Canvas width and height, and the stored images in order."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
@@ -222,7 +237,9 @@ def images(data: bytes) -> tuple[int, int, list[Image]]:
                 palette, at = _palette(data, at, f)
             root = data[at]
             body, at = _sub_blocks(data, at + 1)
-            samples = np.frombuffer(lzw_decode(body, root), np.uint8)[: w * h]
+            if w * h > max_pixels:
+                raise ValueError("too large")
+            samples = lzw_decode(body, root, w * h)
             if len(samples) < w * h:
                 raise ValueError("too few samples")
             grid = samples.reshape(h, w)
@@ -238,10 +255,13 @@ def images(data: bytes) -> tuple[int, int, list[Image]]:
     return width, height, found
 
 
-def decode(data: bytes):
-    """Yield (start_ms, delay_ms, canvas (height, width, 4) uint8) for each frame as it is shown."""
-    width, height, found = images(data)
-    canvas = np.zeros((height, width, 4), np.uint8)
+def compose(width: int, height: int, found: list[Image], max_pixels: int = MAX_PIXELS):
+    """Yield (start_ms, delay_ms, canvas (height, width, 4) uint8) for each frame as it is shown; a canvas holds until the next."""
+    if width * height > max_pixels:
+        raise ValueError("too large")
+    if not found:
+        raise ValueError("no image")
+    canvas = np.zeros((height, width), np.uint32)  # red, green, blue and alpha in a number
     clock = 0
     for m in found:
         kept = canvas.copy() if m.disposal == 3 else None
@@ -250,9 +270,13 @@ def decode(data: bytes):
         palette = np.zeros((256, 4), np.uint8)
         palette[: len(m.palette), :3] = m.palette
         palette[:, 3] = 255
+        colours = palette.view(np.uint32).ravel()[index]
         area = canvas[m.top : b, m.left : r]
-        area[...] = np.where((index == m.transparent)[..., None], area, palette[index]) if m.transparent is not None else palette[index]
-        yield clock, m.delay_ms, canvas.copy()
+        if m.transparent is None:
+            area[...] = colours
+        else:
+            np.copyto(area, colours, where=index != m.transparent)
+        yield clock, m.delay_ms, canvas.view(np.uint8).reshape(height, width, 4)
         clock += m.delay_ms
         if m.disposal == 2:
             canvas[m.top : b, m.left : r] = 0
@@ -260,16 +284,24 @@ def decode(data: bytes):
             canvas = kept
 
 
+def decode(data: bytes, max_pixels: int = MAX_PIXELS):
+    """The frames of a file, as ``compose`` gives them."""
+    return compose(*images(data, max_pixels), max_pixels)
+
+
 def histogram(canvas: np.ndarray, bins: int = BINS) -> tuple[list[int], list[int], list[int]]:
     """Pixels by red, green and blue level; transparent ones count nowhere."""
-    seen = canvas[canvas[..., 3] > 0]
-    return tuple(np.bincount(seen[:, c].astype(np.int64) * bins >> 8, minlength=bins).tolist() for c in range(3))
+    seen = canvas.reshape(-1, 4)
+    if not seen[:, 3].all():
+        seen = seen[seen[:, 3] > 0]
+    each = (np.bincount(seen[:, c], minlength=256) for c in range(3))
+    return tuple(np.add.reduceat(n, -(-np.arange(bins) * 256 // bins)).tolist() for n in each)
 
 
 FRAME_SCHEMA = "frame int, start_ms long, delay_ms int, width int, height int, red array<long>, green array<long>, blue array<long>, shown long, error string"
 
 
-def frames(files: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
+def frames(files: DataFrame, key: str = "id", content: str = "content", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row for each frame of each GIF in the binary column ``content``."""
 
     def run(batches):
@@ -279,8 +311,8 @@ def frames(files: DataFrame, key: str = "id", content: str = "content") -> DataF
                 try:
                     if data is None:
                         raise ValueError("no file")
-                    shown = [(n, s, d, c.shape[1], c.shape[0], *histogram(c), int((c[..., 3] > 0).sum()), None) for n, (s, d, c) in enumerate(decode(data))]
-                except (ValueError, IndexError, struct.error) as e:
+                    shown = [(n, s, d, c.shape[1], c.shape[0], *histogram(c), int((c[..., 3] > 0).sum()), None) for n, (s, d, c) in enumerate(decode(data, max_pixels))]
+                except (ValueError, IndexError, struct.error, MemoryError) as e:
                     shown = [(None, None, None, None, None, None, None, None, None, str(e) or type(e).__name__)]
                 keys += [k] * len(shown)
                 rows += shown
@@ -304,10 +336,17 @@ def payload(media: bytes) -> bytes:
     return b"".join(m.indices.tobytes() for m in images(media)[2])
 
 
-def feature(samples: bytes, bins: int = BINS) -> str:
-    """Rows and the histogram of grey levels; the palette is the identity, so samples are levels."""
-    counts = np.bincount(np.frombuffer(samples, np.uint8) >> 4, minlength=bins)
-    return f"{WIDTH}x{len(samples) // WIDTH}:" + ",".join(map(str, counts.tolist()))
+def feature(media: bytes) -> str:
+    """Canvas, frames and duration, and the pixels of all frames, as composed and timed, by red, green and blue level."""
+    return _feature(*images(media))
+
+
+def _feature(width: int, height: int, found: list[Image]) -> str:
+    total, end, n = np.zeros((3, BINS), np.int64), 0, 0
+    for start, delay, canvas in compose(width, height, found):
+        total += np.array(histogram(canvas))
+        end, n = start + delay, n + 1
+    return f"{width}x{height}:{n}:{end}ms:" + ";".join(",".join(map(str, c)) for c in total.tolist())
 
 
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,8 +370,9 @@ def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in slices(batches, "media"):
             rows = []
             for m in b.column(2).to_pylist():
-                p = payload(m)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
+                width, height, found = images(m)
+                p = b"".join(x.indices.tobytes() for x in found)
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), _feature(width, height, found)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=[key, "n_bytes", *[x.split()[0] for x in _DIGEST.split(", ")]])
 
@@ -340,7 +380,7 @@ def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(stored(documents(spark, sf_dir)))
+    return read_back(written(stored(documents(spark, sf_dir)), "gif"))
 
 
 QUERIES = {"op9_gif": op9_gif}

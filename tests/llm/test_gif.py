@@ -46,7 +46,7 @@ PALETTE = [255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9]
 
 def test_disposal_and_transparency():
     data = _file(2, 2, PALETTE, [(0, 0, 2, 2, [0, 0, 0, 0], 5, 1, None, False), (0, 0, 2, 1, [1, 3], 7, 3, 3, False), (1, 1, 1, 1, [2], 1, 2, None, False), (0, 0, 1, 1, [1], 1, 0, None, False)])
-    got = list(G.decode(data))
+    got = [(s, d, c.copy()) for s, d, c in G.decode(data)]
     assert [(s, d) for s, d, _ in got] == [(0, 50), (50, 70), (120, 10), (130, 10)]
     red, green, blue, clear = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
     assert got[1][2].tolist() == [[green, red], [red, red]]  # the transparent sample shows what lay below
@@ -61,6 +61,100 @@ def test_interlaced():
     assert G.images(data)[2][0].indices[:, 0].tolist() == rows
 
 
+def _textbook_decode(data, root):
+    """LZW as the format's description has it, a code at a time."""
+    bits, at, out = int.from_bytes(data, "little"), 0, []
+    clear = 1 << root
+    table, width, prev = [], 0, None
+    while at + (width or root + 1) <= len(data) * 8:
+        if not table:
+            table, width, prev = [[i] for i in range(clear)] + [None, None], root + 1, None
+        code = bits >> at & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table = []
+            width = 0
+            continue
+        if code == clear + 1:
+            break
+        entry = table[code] if code < len(table) else prev + prev[:1]
+        if prev is not None and len(table) < 4096:
+            table.append(prev + entry[:1])
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        out += entry
+        prev = entry
+    return bytes(out)
+
+
+def _textbook_encode(samples, root, full="clear", every=None):
+    """Greedy LZW; a full table is cleared or kept, and ``every`` so many codes it is cleared early."""
+    clear, bits, n, count = 1 << root, 0, 0, 0
+
+    def emit(code, width):
+        nonlocal bits, n
+        bits |= code << n
+        n += width
+
+    def fresh():
+        return {(i,): i for i in range(clear)}, clear + 2, root + 1
+
+    emit(clear, root + 1)
+    table, free, width = fresh()
+    w = ()
+    for s in samples:
+        if w + (s,) in table:
+            w += (s,)
+            continue
+        emit(table[w], width)
+        count += 1
+        if free < 4096:
+            table[w + (s,)] = free
+            if free == 1 << width and width < 12:
+                width += 1
+            free += 1
+        if full == "clear" and free == 4096 or every and count % every == 0:
+            emit(clear, width)
+            table, free, width = fresh()
+        w = (s,)
+    emit(table[w], width)
+    return bits.to_bytes((n + 7) // 8, "little")
+
+
+@pytest.mark.parametrize("root, full, every", [(8, "clear", None), (8, "keep", None), (8, "keep", 700), (2, "keep", None), (5, "clear", 31)])
+def test_lzw_as_textbook(root, full, every):
+    rng = np.random.default_rng(root)
+    for samples in (rng.integers(0, 1 << root, 30_000), np.zeros(50_000, int), rng.zipf(1.5, 40_000) % (1 << root)):
+        samples = samples.tolist()
+        stream = _textbook_encode(samples, root, full, every)
+        got = G.lzw_decode(stream, root, len(samples))
+        assert got.tolist() == samples
+        if full == "clear":
+            assert _textbook_decode(stream, root)[: len(samples)] == bytes(samples)  # the last byte may hold one more code
+
+
+def test_encoder_with_textbook_decoder():
+    for data in (b"abracadabra" * 500, os.urandom(20_000), bytes(30_000)):
+        assert _textbook_decode(G.lzw_encode(data), 8) == data
+
+
+def test_feature_of_composed_frames():
+    data = _file(2, 2, PALETTE, [(0, 0, 2, 2, [0, 0, 0, 0], 5, 1, None, False), (0, 0, 2, 1, [1, 3], 7, 3, 3, False), (1, 1, 1, 1, [2], 1, 2, None, False), (0, 0, 1, 1, [1], 1, 0, None, False)])
+    shown, red, green, blue = 4 + 4 + 4 + 3, 4 + 3 + 3 + 2, 0 + 1 + 0 + 1, 0 + 0 + 1 + 0  # in the fourth frame one pixel is clear
+    want = [[shown - n, *[0] * 14, n] for n in (red, green, blue)]
+    assert G.feature(data) == "2x2:4:140ms:" + ";".join(",".join(map(str, x)) for x in want)
+    p = G.padded(bytes(range(256)))
+    assert G.feature(G.encode_gray(p)) == "64x4:1:100ms:" + ";".join([",".join(["16"] * 16)] * 3)
+
+
+def test_files_without_images_and_huge_canvases(spark):
+    bare = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + b"\x3b"
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 1, 1, 0) + b"\x02" + G._blocks(_plain_lzw([0], 2)) + b"\x3b"
+    wide = huge.replace(struct.pack("<BHHHHB", 0x2C, 0, 0, 1, 1, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0))
+    rows = spark.createDataFrame([(1, bytearray(bare)), (2, bytearray(huge)), (3, bytearray(wide))], "id long, content binary")
+    assert {r.id: r.error for r in G.frames(rows).collect()} == {1: "no image", 2: "too large", 3: "too large"}
+
+
 def test_frames_table(spark):
     good = _file(2, 1, PALETTE, [(0, 0, 2, 1, [0, 2], 5, 0, None, False)])
     rows = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (4, bytearray(good[:-8]))], "id long, content binary")
@@ -80,7 +174,7 @@ def test_texts(docs):
         m = G.encode_gray(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
-    assert len({r.feature for r in got if r.doc_id in (1, 4)}) == 1
+    assert len({r.feature for r in got if r.doc_id in (1, 4)}) == 1 and all(r.feature == G.feature(G.encode_gray(G.padded(next((t or "").encode() for i, t in rows if i == r.doc_id)))) for r in got)
     assert G.read_back(G.stored(docs([]))).collect() == []
 
 

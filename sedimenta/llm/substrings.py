@@ -4,14 +4,16 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere is rem
 
 1. Anchors. Each 200-byte string has an anchor, its leftmost 64-byte gram of least hash, so equal strings have equal
    anchors at equal places. About one byte in 60 begins an anchor; an anchor's context is the text covered by the
-   strings it stands for. One row an anchor is written: gram hash, context hash (64 strong bits each), place.
+   strings it stands for. One row an anchor is written: gram hash, 128-bit cryptographic digest of the context (which
+   stands for its bytes), place.
 2. Per gram, partial aggregates count rows and contexts. A gram seen once is settled: nothing it stands for repeats. A
    gram with one context seen twice or more is settled too: all of it repeats. Copies by the thousand end here.
 3. Grams in several contexts are left: the edges of shared passages. One row for each distinct context fetches its
    bytes, and the strings of a gram's contexts are suffix-sorted: prefix polynomial hashes and binary search give the
    common extension of two suffixes, which decides each comparison of a mergesort that runs in numpy over many grams
-   at once; neighbours that agree for 200 bytes are verified byte by byte. A gram with over ``BLOCK`` contexts isn't
-   sorted in one task: the strings of its contexts are counted by strong hash with partial aggregation instead.
+   at once; neighbours that agree for 200 bytes are verified byte by byte. A gram with over ``BLOCK`` contexts is split
+   for this: its strings go to tasks by their hash, those whose hash is alone are dropped before, and the rest are
+   sorted and verified in the same way, however many there are.
 4. The removed runs of each document are joined to its text, which is cut and hashed.
 
 Joins on grams have one row a gram on one side, so that AQE splits a gram which a third of all rows share. Texts are
@@ -181,19 +183,27 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return batched(docs).select(F.col(key).cast("string").alias("id"), text_or_empty(text).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
 
 
+def _digest(context: bytes, place: int) -> bytes:
+    """The digest that stands for a context, its anchor at ``place``."""
+    return hashlib.blake2b(context, digest_size=16, salt=place.to_bytes(2, "little")).digest()
+
+
 def _anchor_rows(batches):
-    names = ["id", "th", "gram", "context", "lo", "strings", "place"]
+    names = ["id", "th", "gram", "c1", "c2", "lo", "strings", "place"]
     for b in slices(batches):
         data, off = buffers(b.column(2))
         row, h, place, lo, hi = anchors(data, off)
-        raw = data.tobytes()
-        ctx = [xxhash.xxh3_64_intdigest(raw[s:e], p) for s, e, p in zip(lo.tolist(), (hi + LENGTH).tolist(), (place - lo).tolist())]
+        raw = memoryview(data.tobytes())
+        ctx = b"".join(_digest(raw[s:e], p) for s, e, p in zip(lo.tolist(), (hi + LENGTH).tolist(), (place - lo).tolist()))
+        ctx = np.frombuffer(ctx, np.int64).reshape(-1, 2)
         at = pa.array(row)
-        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(h.view(np.int64)), pa.array(np.array(ctx, U64).view(np.int64)), pa.array((lo - off[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16)), pa.array((place - lo).astype(np.int16))]
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(h.view(np.int64)), pa.array(ctx[:, 0]), pa.array(ctx[:, 1])]
+        cols += [pa.array((lo - off[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16)), pa.array((place - lo).astype(np.int16))]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-_CONTEXT = "gram long, context long, copies long, place int, strings int, bytes binary"
+_KEY = ["gram", "c1", "c2"]
+_CONTEXT = "gram long, c1 long, c2 long, copies long, place int, strings int, bytes binary"
 
 
 def _context_rows(batches):
@@ -201,12 +211,21 @@ def _context_rows(batches):
     for b in slices(batches, "packed"):
         rows = []
         for raw, contexts in zip(unpacked(b.column(0)), b.column(1).to_pylist()):
-            rows += [(c["gram"], c["context"], c["copies"], c["place"], c["strings"], raw[c["lo"] : c["lo"] + c["strings"] - 1 + LENGTH]) for c in contexts]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            rows += [(c["gram"], c["c1"], c["c2"], c["copies"], c["place"], c["strings"], raw[c["lo"] : c["lo"] + c["strings"] - 1 + LENGTH]) for c in contexts]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
 
-_RESULT = "gram long, context long, first int, last int"
+_RESULT = "gram long, c1 long, c2 long, first int, last int"
+
+
+def _found(keys: list, again: np.ndarray, ctx: np.ndarray, nth: np.ndarray):
+    """Runs of strings that repeat: ``keys`` of contexts, of each string its context and its number in that."""
+    edge = np.flatnonzero(again)
+    new = np.r_[True, (np.diff(edge) > 1) | (ctx[edge[1:]] != ctx[edge[:-1]])] if len(edge) else np.zeros(0, bool)
+    a, b = edge[new], edge[np.r_[new[1:], True]] if len(edge) else edge
+    cols = np.array(keys, np.int64).reshape(-1, 3)[ctx[a]]
+    return pa.RecordBatch.from_arrays([*(pa.array(cols[:, k]) for k in range(3)), pa.array(nth[a].astype(np.int32)), pa.array(nth[b].astype(np.int32))], names=[x.split()[0] for x in _RESULT.split(", ")])
 
 
 def _sorted_rows(batches):
@@ -215,9 +234,9 @@ def _sorted_rows(batches):
 
     def emit(rows):
         gram = np.array([r[0] for r in rows], np.int64)
-        place, strings = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        size = np.array([len(r[5]) for r in rows], np.int64)
+        place, strings = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        size = np.array([len(r[6]) for r in rows], np.int64)
         at = np.cumsum(size) - size
         ctx = np.repeat(np.arange(len(rows)), strings)
         nth = np.arange(len(ctx)) - np.repeat(np.cumsum(strings) - strings, strings)
@@ -227,63 +246,121 @@ def _sorted_rows(batches):
         order = np.argsort(group, kind="stable")
         again = np.zeros(len(ctx), bool)
         again[order] = repeated(data, (at[ctx] + nth)[order], group[order])
-        again |= np.array([r[2] > 1 for r in rows])[ctx]
-        edge = np.flatnonzero(again)
-        if not len(edge):
-            return
-        new = np.r_[True, (np.diff(edge) > 1) | (ctx[edge[1:]] != ctx[edge[:-1]])]
-        a, b = edge[new], edge[np.r_[new[1:], True]]
-        context = np.array([r[1] for r in rows], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[ctx[a]]), pa.array(context[ctx[a]]), pa.array(nth[a].astype(np.int32)), pa.array(nth[b].astype(np.int32))], names=[x.split()[0] for x in _RESULT.split(", ")])
+        again |= np.array([r[3] > 1 for r in rows])[ctx]
+        return _found([r[:3] for r in rows], again, ctx, nth)
 
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in range(6))):
+        for row in zip(*(b.column(c).to_pylist() for c in range(7))):
             if weight >= _AT_ONCE and held and held[-1][0] != row[0]:
-                yield from emit(held)
+                yield emit(held)
                 held, weight = [], 0
             held.append(row)
-            weight += row[4]
+            weight += row[5]
     if held:
-        yield from emit(held)
+        yield emit(held)
+
+
+_STRING = "gram long, c1 long, c2 long, k int, at int, string long"
+
+
+def _string_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63)
 
 
 def _string_rows(batches):
-    """The strings of contexts, by strong hash."""
+    """The strings of contexts, by hash, without their bytes."""
+    for b in slices(batches, "bytes"):
+        rows = []
+        for gram, c1, c2, _, place, strings, raw in zip(*(b.column(c).to_pylist() for c in range(7))):
+            rows += [(gram, c1, c2, k, place - k, _string_hash(raw[k : k + LENGTH])) for k in range(strings)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _STRING.split(", ")])
+
+
+_BYTES = "gram long, c1 long, c2 long, k int, at int, string long, bytes binary"
+
+
+def _string_bytes(batches):
+    """The bytes of the strings ``ks`` of contexts."""
     for b in slices(batches, "bytes"):
         rows = []
-        for gram, context, _, place, strings, raw in zip(*(b.column(c).to_pylist() for c in range(6))):
-            rows += [(gram, context, k, place - k, xxhash.xxh3_64_intdigest(raw[k : k + LENGTH], 1) - (1 << 63)) for k in range(strings)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "context", "k", "at", "string"])
+        for gram, c1, c2, place, raw, ks in zip(*(b.column(c).to_pylist() for c in range(6))):
+            for k in ks:
+                one = raw[k : k + LENGTH]
+                rows.append((gram, c1, c2, k, place - k, _string_hash(one), one))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _BYTES.split(", ")])
+
+
+def _sorted_strings(batches):
+    """Rows of strings sorted by (gram, at, bytes) to those that repeat. Equal ones are neighbours, so only two are held of each."""
+    held, last, run = [], None, 0
+
+    def emit(rows):
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        _, group = np.unique(np.array([(r[0], r[4]) for r in rows], np.int64), axis=0, return_inverse=True)
+        again = repeated(data, LENGTH * np.arange(len(rows)), group.ravel())
+        return _found([r[:3] for r in rows], again, np.arange(len(rows)), np.array([r[3] for r in rows]))
+
+    more = []  # strings that equal two held ones, verified by the comparison of their bytes
+    for b in slices(batches, "bytes"):
+        for row in zip(*(b.column(c).to_pylist() for c in range(7))):
+            same = last is not None and (row[0], row[4], row[6]) == (last[0], last[4], last[6])
+            run = run + 1 if same else 1
+            last = row
+            if run > 2:
+                more.append(row)
+                if len(more) >= 10_000:
+                    yield _found([r[:3] for r in more], np.ones(len(more), bool), np.arange(len(more)), np.array([r[3] for r in more]))
+                    more = []
+                continue
+            if not same and len(held) * LENGTH >= _AT_ONCE * 10:
+                yield emit(held)
+                held = []
+            held.append(row)
+    if held:
+        yield emit(held)
+    if more:
+        yield _found([r[:3] for r in more], np.ones(len(more), bool), np.arange(len(more)), np.array([r[3] for r in more]))
+
+
+def _of_many(found: DataFrame) -> DataFrame:
+    """The ranges of strings that repeat, for contexts of grams that have too many of them for one task."""
+    strings = written(found.mapInArrow(_string_rows, _STRING), "strings")
+    twice = strings.groupBy("gram", "at", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # at most SPAN strings a context
+    ks = strings.join(twice, ["gram", "at", "string"]).groupBy(*_KEY).agg(F.collect_list("k").alias("ks"))
+    rows = found.join(ks, _KEY).select(*_KEY, "place", "bytes", "ks").mapInArrow(_string_bytes, _BYTES)
+    again = rows.repartition("gram", "at", "string").sortWithinPartitions("gram", "at", "bytes").mapInArrow(_sorted_strings, _RESULT)
+    copies = found.filter("copies > 1").select(*_KEY, F.lit(0).alias("first"), (F.col("strings") - 1).alias("last"))
+    return again.unionAll(copies)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id string, th, spans array<struct<s int, e int>>): the byte ranges of each text that repeat; they may overlap."""
     keyed = _keyed(docs, key, text)
-    rows = written(keyed.mapInArrow(_anchor_rows, "id string, th long, gram long, context long, lo int, strings short, place short"), "anchors")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("mixed")).filter("n > 1")
+    rows = written(keyed.mapInArrow(_anchor_rows, "id string, th long, gram long, c1 long, c2 long, lo int, strings short, place short"), "anchors")
+    differ = reduce(lambda a, b: a | b, [F.min(c) < F.max(c) for c in ("c1", "c2")])
+    grams = rows.groupBy("gram").agg(F.count("*").alias("n"), differ.alias("mixed")).filter("n > 1")
     seen = written(rows.join(grams, "gram").drop("n"), "anchors-repeated")
     spans = [seen.filter("not mixed").select("id", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("strings") - 1 + LENGTH).alias("e"))]
     mixed = seen.filter("mixed")
-    contexts = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "lo", "strings", "place")).alias("w")).select("gram", "context", "copies", "w.*"), "contexts")
-    wanted = contexts.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "context", "copies", "lo", "strings", "place")).alias("contexts"))
+    contexts = written(mixed.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "lo", "strings", "place")).alias("w")).select(*_KEY, "copies", "w.*"), "contexts")
+    wanted = contexts.groupBy("id", "th").agg(F.collect_list(F.struct(*_KEY, "copies", "lo", "strings", "place")).alias("contexts"))
     texts = keyed.select("id", "th", packed("text").alias("packed"))
     # one of several equal rows is enough
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("packed", "contexts").mapInArrow(_context_rows, _CONTEXT)
-    found = written(found.dropDuplicates(["gram", "context"]), "context-bytes")
+    found = written(found.dropDuplicates(_KEY), "context-bytes")
     many = written(contexts.groupBy("gram").count().filter(F.col("count") > block).select("gram"), "grams-of-many")
     hot = not many.isEmpty()
     few = found.join(many, "gram", "left_anti") if hot else found
-    results = [few.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_sorted_rows, _RESULT)]
+    result = few.repartition("gram").sortWithinPartitions("gram", "c1", "c2").mapInArrow(_sorted_rows, _RESULT)
     if hot:
-        strings = written(found.join(many, "gram", "left_semi").mapInArrow(_string_rows, "gram long, context long, k int, at int, string long"), "strings")
-        again = strings.groupBy("gram", "at", "string").count().filter("count > 1").drop("count")
-        results.append(strings.join(again, ["gram", "at", "string"]).select("gram", "context", F.col("k").alias("first"), F.col("k").alias("last")))
-        copies = found.join(many, "gram", "left_semi").filter("copies > 1")
-        results.append(copies.select("gram", "context", F.lit(0).alias("first"), (F.col("strings") - 1).alias("last")))
-    result = written(reduce(DataFrame.unionAll, results), "contexts-repeated")
-    spans.append(mixed.join(result, ["gram", "context"]).select("id", "th", (F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("last") + LENGTH).alias("e")))
-    return reduce(DataFrame.unionAll, spans).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        result = result.unionAll(_of_many(found.join(many, "gram", "left_semi")))
+    result = written(result, "contexts-repeated")
+    spans.append(mixed.join(result, _KEY).select("id", "th", (F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("last") + LENGTH).alias("e")))
+    # a set: rows repeated whole have the same spans
+    return reduce(DataFrame.unionAll, spans).groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:

@@ -44,6 +44,36 @@ def test_as_brute_force(docs, block):
     assert sorted(repr(tuple(r)) for r in got) == _brute(rows)
 
 
+def test_hot_gram_as_brute_force(docs):
+    """A gram with more contexts than ``BLOCK``, some of whose strings repeat; rows repeated whole."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared, ends = word(150), [word(80) for _ in range(40)]
+    rows = [(i, word(70) + shared + (rng.choice(ends) if i % 3 else word(80))) for i in range(S.BLOCK + 300)] + [(9000, word(400))] * 5
+    got = S.deduplicated(docs(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = _brute(rows)
+    assert sorted(repr(tuple(r)) for r in got) == want and sum(", 1, " in w for w in want) > 1000
+
+
+def test_planted_collisions():
+    """Different grams of one hash, and different strings of one hash, are told apart by their bytes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    same = text(210)
+    rows = [(7, k, 0, 1, 30, 11, b) for k, b in enumerate([same, text(210), text(210), bytes(c ^ 1 for c in same[:3]) + same[3:], text(210)])]
+    names = [x.split()[0] for x in S._CONTEXT.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    got = [r for b in S._sorted_rows(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["c1"], r["first"], r["last"]) for r in got) == [(0, 3, 10), (3, 3, 10)]
+    strings = sorted([(7, k, 0, 5, 1, 99, b) for k, b in enumerate([same[:200], text(200), same[:200], same[:200], same[:200], text(200)])], key=lambda r: r[6])
+    names = [x.split()[0] for x in S._BYTES.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=names) for part in (strings[:2], strings[2:])]
+    got = [r for b in S._sorted_strings(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["c1"], r["first"], r["last"]) for r in got) == [(k, 5, 5) for k in (0, 2, 3, 4)]
+
+
 def test_no_rows(docs):
     assert S.deduplicated(docs([])).collect() == []
 

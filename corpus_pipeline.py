@@ -1,10 +1,16 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-1. toxicity: documents that the scorer (gated log-odds of expressions) predicts toxic go;
+1. toxicity: documents that the scorer (class-conditional Kneser-Ney models) predicts toxic go;
 2. line dedup: lines over the boilerplate ratio of their source are cut (``n_chars`` follows);
 3. near dedup: of documents linked by SimHash, directly or through others, the one of least id stays;
 4. mixing: rows are taken as often as their source's target weight asks (0 to 3 times);
 5. SentencePiece: texts get ``ids`` and ``n_tokens``, segmented with seeded merge-dropout.
+
+Defined results: a null or empty text scores what no evidence gives, is no boilerplate, is a near copy of other such
+texts (one stays), has size 0 in the mix and null or no ids; rows with a null id stay through near dedup; of rows that
+share an id the first by text hash stays; a null source is a site and a source of its own; repeated rows are copies; no
+rows give no rows. All but the last stage return the columns of documents, further ones included; columns named ``ids``
+or ``n_tokens`` are replaced by the last stage.
 """
 
 from __future__ import annotations

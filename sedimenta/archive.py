@@ -502,6 +502,11 @@ def save_text(values: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def save_rows(df: DataFrame, path: str, separator: str = "\t", header: bool = False) -> None:
+    """Flat columns as separated values, a tab by default; quoted where need be, a null is an empty field."""
+    df.write.options(sep=separator, header=str(header).lower(), emptyValue='""', nullValue="", escape='"', compression="gzip" if path.endswith(".gz") else "none").csv(path)
+
+
 def table(df: DataFrame, rows: int = 20) -> str:
     """The first rows as tab-separated text, for a notebook's table display."""
     return "%table " + df.limit(rows).toPandas().to_csv(sep="\t", index=False)

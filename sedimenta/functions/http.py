@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of a payload that become text.
+#: Bytes of a payload that become text, unless a caller says otherwise (0: all).
 TEXT_LIMIT = 1 << 20
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([a-zA-Z0-9_:.-]+)", re.I)
 
@@ -74,10 +74,26 @@ def http_message(data: bytes) -> tuple[str, list[tuple[str, str]], bytes] | None
     return status.decode("latin-1").strip(), header, body
 
 
+#: The line before an ARC record's block: URL, IP address, 14 digits, MIME type, (more,) length.
+_ARC = re.compile(rb"([a-zA-Z][a-zA-Z0-9+.-]*:\S*) (\S+) (\d{14}) (\S+)(?: \S+)*? (\d+)\r?\n")
+
+
+def arc_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """An ARC record as ``warc_record`` gives a WARC record."""
+    m = _ARC.match(data)
+    if m is None:
+        raise ValueError("not a WARC or ARC record")
+    url, ip, stamp, mime_, n = (x.decode("latin-1") for x in m.groups())
+    block = data[m.end() : m.end() + int(n)]
+    kind = "warcinfo" if url.startswith("filedesc:") else "response" if block.startswith(b"HTTP/") else "resource"
+    date = f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:]}Z"
+    return [("WARC-Type", kind), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-IP-Address", ip), ("Content-Type", mime_)], block
+
+
 def warc_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """Header and block of one uncompressed WARC record."""
+    """Header and block of one uncompressed WARC record, or ARC record."""
     if not data.startswith(b"WARC/"):
-        raise ValueError("not a WARC record")
+        return arc_record(data)
     head, rest = _split(data)
     header = header_lines(head.partition(b"\n")[2])
     n = next((int(v) for k, v in header if k.lower() == "content-length"), len(rest))
@@ -104,11 +120,11 @@ def charset(header) -> str | None:
     return x.strip().strip("\"'") or None if k.strip() == "charset" else None
 
 
-def string_content(payload: bytes | None, header=None) -> str | None:
-    """At most 1 MB of the payload as trimmed text: declared charset, then the HTML's own, then UTF-8, then Latin-1."""
+def string_content(payload: bytes | None, header=None, limit: int = TEXT_LIMIT) -> str | None:
+    """The payload, up to ``limit`` bytes, as trimmed text: declared charset, then the HTML's own, then UTF-8, then Latin-1."""
     if payload is None:
         return None
-    data = bytes(payload[:TEXT_LIMIT])
+    data = bytes(payload[:limit] if limit else payload)
     names = [charset(header)] if header else []
     if header and (mime(header) or "").lower() == "text/html":
         m = _META.search(data[:4096])

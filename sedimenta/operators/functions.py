@@ -148,10 +148,12 @@ def Entities(tagger=None, mapping: dict[str, str] | None = None, latin: bool = F
     return Func({f: "array<string>" for f in mapping.values()}, source=HtmlText(), py=run, setup=make, namespace=("entities",), multi=tuple(mapping.values()))
 
 
-def StringContent() -> Func:
+def StringContent(limit: int = http.TEXT_LIMIT) -> Func:
+    """The payload's text; ``limit``: bytes of the payload that become text, 0 for all."""
+
     def run(v):
         payload, header = (v["payload"], v["httpHeader"]) if isinstance(v, dict) else (v, None)
-        return {"string": http.string_content(payload, [(h["k"], h["v"]) for h in header] if header else None)}
+        return {"string": http.string_content(payload, [(h["k"], h["v"]) for h in header] if header else None, limit)}
 
     return Func({"string": "string"}, py=run, load="bytes", context=("@httpHeader",))
 

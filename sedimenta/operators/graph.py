@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def vertices(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, url): every end of an edge; the id is a hash of the URL, so it needs no dictionary and never changes."""
+    """(id, url): every end of an edge; the id is a 128-bit digest of the URL, so it needs no dictionary and never changes."""
     urls = edges.select(F.col(src).alias("url")).unionAll(edges.select(F.col(dst).alias("url"))).filter("url is not null").distinct()
-    return urls.select(F.xxhash64("url").alias("id"), "url")
+    return urls.select(F.md5(F.col("url").cast("binary")).alias("id"), "url")
 
 
 def with_ids(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(src_id, dst_id) of each edge; no join is needed."""
-    return edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.xxhash64(src).alias("src_id"), F.xxhash64(dst).alias("dst_id"))
+    return edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.md5(F.col(src).cast("binary")).alias("src_id"), F.md5(F.col(dst).cast("binary")).alias("dst_id"))
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.archive import Archive, Field, load_json
+from sedimenta.archive import Archive, Field, load_json, save_rows, save_text
 from sedimenta.functions import entities, http, urls
 from sedimenta.operators import graph, revisits
 from sedimenta.operators.functions import AbsoluteUrl, Data, Entities, Html, HtmlAttribute, HtmlText, HttpPayload, LowerCase, SURT, StringContent, Values
@@ -343,7 +343,7 @@ def graph_num_vertices(spark, sf_dir):
     return graph.n_vertices(_edges(spark, sf_dir))
 
 
-@_query()
+@_query(f"SELECT md5(src) AS src_id, md5(dst) AS dst_id FROM {_EDGES} WHERE src IS NOT NULL AND dst IS NOT NULL")
 def graph_ids(spark, sf_dir):
     return graph.with_ids(_edges(spark, sf_dir))
 
@@ -433,7 +433,7 @@ def _written_warc(spark, sf_dir) -> str:
 @_query("SELECT url AS \"originalUrl\", 200 AS status, 'text/html' AS mime, trim(html) AS string FROM pages")
 def warc_roundtrip(spark, sf_dir):
     a = warc.from_files(spark, _written_warc(spark, sf_dir))
-    return a.select("originalUrl", "status", "mime", string=StringContent())
+    return a.select("originalUrl", "status", "mime", string=StringContent(limit=0))
 
 
 @_query("SELECT url AS \"originalUrl\", $TITLE_TEXT AS title FROM pages WHERE url LIKE '%/en/%'")
@@ -442,12 +442,68 @@ def warc_by_index(spark, sf_dir):
     return a.select("originalUrl", title=TITLE)
 
 
-@_query("SELECT doc_id FROM documents")
-def raw_files_lines(spark, sf_dir):
+_RAW_LINES = "(SELECT doc_id, unnest(string_split(coalesce(replace(text, chr(13), ''), ''), chr(10))) AS line FROM documents)"
+
+
+def _written_raw(spark, sf_dir) -> str:
+    """Files of whole texts, each line after its document's id."""
     path = scratch.path(spark, "raw")
-    _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value")).write.option("compression", "gzip").text(path)
-    found = files.files(spark, path, [r".*\.txt\.gz"])
-    return found.select(F.explode(files.lines_of(files.decompressed(F.col("content"), F.col("path")))).alias("x")).filter("x <> ''").select(F.col("x").cast("long").alias("doc_id"))
+    lines = F.transform(F.split(F.coalesce(F.regexp_replace("text", "\r", ""), F.lit("")), "\n"), lambda x: F.concat(F.col("doc_id").cast("string"), F.lit("\t"), x))
+    _table(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")).write.option("compression", "gzip").text(path)
+    return path
+
+
+@_query(f"SELECT doc_id, md5(line) AS line FROM {_RAW_LINES}")
+def raw_files_lines(spark, sf_dir):
+    found = files.files(spark, _written_raw(spark, sf_dir), [r".*\.txt\.gz"])
+    lines = found.select(F.explode(files.lines_of(files.decompressed(F.col("content"), F.col("path")))).alias("x")).filter(F.contains("x", F.lit("\t")))
+    at = F.instr("x", "\t")
+    return lines.select(F.substring("x", F.lit(1), at - 1).cast("long").alias("doc_id"), F.md5(F.substring("x", at + 1, F.length("x")).cast("binary")).alias("line"))
+
+
+@_query(f"SELECT doc_id, count(*) AS n, sum(length(line))::BIGINT AS chars FROM {_RAW_LINES} GROUP BY doc_id")
+def text_lines(spark, sf_dir):
+    lines = files.text_lines(spark, _written_raw(spark, sf_dir))
+    at = F.instr("value", "\t")
+    rows = lines.select(F.substring("value", F.lit(1), at - 1).cast("long").alias("doc_id"), (F.length("value") - at).alias("c"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
+
+
+@_query("SELECT count(*) AS n, sum(page_id)::BIGINT AS ids FROM pages")
+def text_files(spark, sf_dir):
+    path = scratch.path(spark, "texts")
+    _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("value")).write.text(path)
+    found = files.text_files(spark, path).select(F.explode(F.split("value", "\n")).alias("x")).filter("x <> ''")
+    return found.agg(F.count("*").alias("n"), F.sum(F.col("x").cast("long")).alias("ids"))
+
+
+@_query("SELECT url AS \"originalUrl\", '20240101000000' AS timestamp, $TITLE_TEXT AS title, $BODY AS text FROM pages")
+def title_text_tsv(spark, sf_dir):
+    """The recipe of titles and texts: exported as tab-separated values and read again."""
+    body = HtmlText().of(Html.first("body"))
+    path = scratch.path(spark, "tsv")
+    save_rows(_pages(spark, sf_dir).select("originalUrl", title=TITLE, text=body).select("originalUrl", F.lit("20240101000000").alias("timestamp"), "title", "text"), path)
+    return spark.read.schema("originalUrl string, timestamp string, title string, text string").csv(path, sep="\t", escape='"')
+
+
+@_query("SELECT count(*) AS n FROM pages")
+def warc_count(spark, sf_dir):
+    """Records written, as the writer counts them."""
+    a = Archive(_responses(spark, sf_dir).withColumn("timestamp", F.lit("20240101000000")), ["page_id", "originalUrl", "timestamp"], root_func=HttpPayload())
+    n = warc.save(a, scratch.path(spark, "warc"), created="2024-01-01T00:00:00Z")
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+
+
+@_query(f"SELECT n AS lines FROM (SELECT count(*) AS n FROM {_EDGES})")
+def save_text_count(spark, sf_dir):
+    n = save_text(_edges(spark, sf_dir).select(F.concat_ws("\t", "src", "dst").alias("value")), scratch.path(spark, "lines"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("lines"))
+
+
+@_query("SELECT page_id, $TITLE_TEXT AS title FROM pages")
+def to_dataframe(spark, sf_dir):
+    rows = _pages(spark, sf_dir).enrich(TITLE).to_df()
+    return rows.select("record.page_id", F.col("payload.string.html.title.text").alias("title"))
 
 
 @_query("SELECT doc_id, coalesce(len(list_distinct(regexp_extract_all(text, '\\b(?:19|20)[0-9]{2}\\b'))), 0)::BIGINT AS years FROM documents")

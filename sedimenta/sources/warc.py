@@ -1,11 +1,14 @@
-"""WARC files: a scan without an index, range reads with one, and a writer with side-car indexes."""
+"""WARC files: a scan without an index, range reads with one, and a writer with side-car indexes.
+
+Files lie on any file system that ``store`` can open. ARC files of gzip members are scanned too.
+"""
 
 from __future__ import annotations
 
 import base64
 import gzip
 import hashlib
-import os
+import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,15 +23,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from sedimenta.archive import Archive, Config
 from sedimenta.functions import http, urls
 from sedimenta.operators.functions import WarcPayload
-from sedimenta.sources import cdx
+from sedimenta.sources import cdx, store
 
 _CHUNK = 1 << 20
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
-
-
 def members(read, limit: int = 0) -> Iterator[tuple[int, int, bytes]]:
     """(offset, stored length, bytes) of each record of a stream; ``read``: n -> bytes. Gzip members or plain records.
 
@@ -129,23 +128,20 @@ class WarcSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"]
         self.revisits = options.get("includerevisits", options.get("includeRevisits", "true")).lower() == "true"
         self.others = options.get("includeothers", options.get("includeOthers", "false")).lower() == "true"
         self.limit = int(options.get("maxdecompressed", options.get("maxDecompressed", "0")))
 
     def partitions(self):
-        if os.path.isfile(self.path):
-            return [_File(self.path)]
-        found = [os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if f.lower().endswith((".warc", ".warc.gz", ".arc.gz", ".wat.gz"))]
-        return [_File(p) for p in sorted(found)] or [_File("")]
+        return [_File(p) for p in store.files_below(self.path, (".warc", ".warc.gz", ".arc.gz", ".wat.gz"))] or [_File("")]
 
     def read(self, partition: _File):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with store.opened(self.path)[0].open_input_stream(partition.path, compression=None) as f:
             for offset, length, record in members(f.read, self.limit):
-                got = capture_of(record, offset, length, os.path.basename(partition.path), self.revisits, self.others)
+                got = capture_of(record, offset, length, posixpath.basename(partition.path), self.revisits, self.others)
                 if got is not None:
                     yield (*got, partition.path, record)
 
@@ -161,16 +157,18 @@ class _Writer(DataSourceWriter):
 
     def __init__(self, options: dict, columns: list[str]):
         self.o, self.columns = dict(options), columns
-        self.path = _local(options["path"])
-        os.makedirs(self.path, exist_ok=True)
+        self.url = options["path"]
+        system, self.path = store.opened(self.url)
+        system.create_dir(self.path, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> _Done:
         from pyspark import TaskContext
 
+        system = store.opened(self.url)[0]
         number = TaskContext.get().partitionId()
         gz, index = self.o.get("gzip", "true") == "true", self.o.get("cdx", "true") == "true"
         name = f"{self.o.get('prefix', 'part')}-{number:05d}.warc{'.gz' if gz else ''}"
-        temp = os.path.join(self.path, f".{name}.{uuid.uuid4().hex}")
+        temp = posixpath.join(self.path, f".{name}.{uuid.uuid4().hex}")
         out, side, count, at = None, [], 0, 0
         try:
             for row in rows:
@@ -178,8 +176,10 @@ class _Writer(DataSourceWriter):
                 if row.get("payload") is None:
                     continue
                 if out is None:  # no empty files
-                    out = open(temp, "wb")
-                    at += out.write(_member(_info(self.o, name), gz))
+                    out = system.open_output_stream(temp, compression=None)
+                    first = _member(_info(self.o, name), gz)
+                    out.write(first)
+                    at += len(first)
                 record = _response(row)
                 stored = _member(record, gz)
                 out.write(stored)
@@ -193,28 +193,32 @@ class _Writer(DataSourceWriter):
                 out.close()
         if out is None:
             return _Done(0, [])
-        files = [(temp, os.path.join(self.path, name))]
+        files = [(temp, posixpath.join(self.path, name))]
         if index:
             cdx_name = name.removesuffix(".gz") + ".cdx" + (".gz" if gz else "")
-            temp2 = os.path.join(self.path, f".{cdx_name}.{uuid.uuid4().hex}")
+            temp2 = posixpath.join(self.path, f".{cdx_name}.{uuid.uuid4().hex}")
             text = ("\n".join([" CDX N b a m s k r M S V g", *side]) + "\n").encode()
-            with open(temp2, "wb") as f:
+            with system.open_output_stream(temp2, compression=None) as f:
                 f.write(gzip.compress(text, mtime=0) if gz else text)
-            files.append((temp2, os.path.join(self.path, cdx_name)))
+            files.append((temp2, posixpath.join(self.path, cdx_name)))
         return _Done(count, files)
 
     def commit(self, messages) -> None:
+        system = store.opened(self.url)[0]
         for m in messages:
             for temp, name in m.files if m else ():
-                os.replace(temp, name)
-        with open(os.path.join(self.path, "_COUNT"), "w") as f:
-            f.write(str(sum(m.records for m in messages if m)))
+                system.move(temp, name)
+        with system.open_output_stream(posixpath.join(self.path, "_COUNT")) as f:
+            f.write(str(sum(m.records for m in messages if m)).encode())
 
     def abort(self, messages) -> None:
+        system = store.opened(self.url)[0]
         for m in messages:
             for temp, _ in m.files if m else ():
-                if os.path.exists(temp):
-                    os.remove(temp)
+                try:
+                    system.delete_file(temp)
+                except FileNotFoundError:
+                    pass
 
 
 def _member(record: bytes, gz: bool) -> bytes:
@@ -261,29 +265,37 @@ def scan(spark: SparkSession, path: str, revisits: bool = True, others: bool = F
     return spark.read.format("warc").options(includeRevisits=str(revisits).lower(), includeOthers=str(others).lower(), maxDecompressed=str(max_decompressed)).load(path)
 
 
-def read_range(path: Column, offset: Column, length: Column) -> Column:
-    """The bytes of a stored record, decompressed if it is a gzip member; null if it can't be read."""
+def read_range(path: Column, offset: Column, length: Column, limit: int = 0) -> Column:
+    """The bytes of a stored record, decompressed if it is a gzip member; null if it can't be read.
+
+    A batch is read in the order of files and offsets. ``limit``: most bytes that a record may grow to (0: any). A path
+    on a file system that can't be opened is an error.
+    """
 
     @F.arrow_udf("binary")
     def run(paths, offsets, lengths):
         import pyarrow as pa
 
-        out, name, f = [], None, None
+        rows = [*zip(paths.to_pylist(), offsets.to_pylist(), lengths.to_pylist())]
+        out: list[bytes | None] = [None] * len(rows)
+        name, f = None, None
         try:
-            for p, o, n in zip(paths.to_pylist(), offsets.to_pylist(), lengths.to_pylist()):
+            for k in sorted((k for k, r in enumerate(rows) if None not in r and r[1] >= 0 and r[2] >= 0), key=lambda k: rows[k]):
+                p, o, n = rows[k]
+                system, at = store.opened(p)
                 try:
-                    if p is None or o is None or n is None or o < 0 or n < 0:
-                        raise OSError
                     if p != name:
                         if f:
                             f.close()
-                        f, name = open(_local(p), "rb"), p
+                        f, name = None, p
+                        f = system.open_input_file(at)
+                    if f is None:
+                        continue
                     f.seek(o)
                     data = f.read(n)
-                    out.append(zlib.decompressobj(31).decompress(data) if data[:2] == b"\x1f\x8b" else data)
+                    out[k] = zlib.decompressobj(31).decompress(data, limit) if data[:2] == b"\x1f\x8b" else data
                 except (OSError, zlib.error):
-                    out.append(None)
-                    name = None
+                    pass
         finally:
             if f:
                 f.close()
@@ -298,24 +310,27 @@ def of_rows(rows: DataFrame, config: Config = Config()) -> Archive:
     return Archive(rows, record, {}, config, root_func=WarcPayload())
 
 
-def from_files(spark: SparkSession, path: str, **options) -> Archive:
-    return of_rows(scan(spark, path, **options))
+def from_files(spark: SparkSession, path: str, config: Config = Config(), **options) -> Archive:
+    return of_rows(scan(spark, path, **{"max_decompressed": config.max_decompressed, **options}), config)
 
 
-def from_index(captures: DataFrame, files: DataFrame | str) -> Archive:
+def from_index(captures: DataFrame, files: DataFrame | str, config: Config = Config()) -> Archive:
     """Captures first: a record's bytes are read only where a derivation needs them, for the captures that filters left."""
     index = cdx.file_index(captures.sparkSession, files) if isinstance(files, str) else files
     rows = cdx.located(captures, index)
-    return of_rows(rows.withColumn("content", read_range(F.col("path"), F.col("offset"), F.col("compressedSize"))))
+    return of_rows(_with_content(rows, config), config)
+
+
+def _with_content(rows: DataFrame, config: Config) -> DataFrame:
+    return rows.withColumn("content", read_range(F.col("path"), F.col("offset"), F.col("compressedSize"), config.max_decompressed))
 
 
-def from_files_with_cdx(spark: SparkSession, folder: str) -> Archive:
-    return from_index(cdx.read(spark, cdx.with_folder(folder)), folder)
+def from_files_with_cdx(spark: SparkSession, folder: str, config: Config = Config()) -> Archive:
+    return from_index(cdx.read(spark, cdx.with_folder(folder)), folder, config)
 
 
-def from_folders(captures: DataFrame, folder: str = "folder") -> Archive:
-    rows = cdx.located_in(captures, folder)
-    return of_rows(rows.withColumn("content", read_range(F.col("path"), F.col("offset"), F.col("compressedSize"))))
+def from_folders(captures: DataFrame, folder: str = "folder", config: Config = Config()) -> Archive:
+    return of_rows(_with_content(cdx.located_in(captures, folder), config), config)
 
 
 def save(archive: Archive, path: str, prefix: str = "part", compress: bool = True, index: bool = True, publisher: str = "Anonymous", created: str | None = None, software: str | None = None) -> int:
@@ -330,5 +345,6 @@ def save(archive: Archive, path: str, prefix: str = "part", compress: bool = Tru
     base = [(F.col(c) if c in a.df.columns else F.lit(None)).cast("string").alias(c) for c in ("originalUrl", "timestamp")]
     options = {"prefix": prefix, "gzip": str(compress).lower(), "cdx": str(index).lower(), "publisher": publisher, "software": software or spark.sparkContext.appName}
     a.df.select(*base, *cols).write.format("warc").mode("append").options(**options, **({"created": created} if created else {})).save(path)
-    with open(os.path.join(_local(path), "_COUNT")) as f:
+    system, at = store.opened(path)
+    with system.open_input_stream(posixpath.join(at, "_COUNT")) as f:
         return int(f.read())

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta import streaming
-from sedimenta.archive import Archive
+from sedimenta.archive import Archive, Config
 from sedimenta.operators import graph, revisits
 from sedimenta.operators.functions import Html, HtmlText, HttpPayload, StringContent, WarcPayload
 from sedimenta.operators.paths import Pointer
@@ -181,3 +181,69 @@ def test_streams(spark, tmp_path):
         assert sorted(r.surtUrl for r in spark.table("seen").collect()) == ["org,a)/", "org,b)/"]
     finally:
         q.stop()
+
+
+def test_arc_records(spark, tmp_path):
+    def member(url, mime, block):
+        return gzip.compress(f"{url} 1.2.3.4 20010203040506 {mime} {len(block)}\n".encode() + block + b"\n")
+
+    http = _html("Old").encode()
+    with open(tmp_path / "a.arc.gz", "wb") as f:
+        f.write(member("filedesc://a.arc", "text/plain", b"1 0 x\n") + member("http://a.org/x", "text/html", http) + member("dns:a.org", "text/dns", b"1.2.3.4"))
+    rows = warc.scan(spark, f"file:{tmp_path}").collect()
+    assert [(r.originalUrl, r.timestamp, r.status, r.mime) for r in rows] == [("http://a.org/x", "20010203040506", 200, "text/html")]
+    assert warc.scan(spark, str(tmp_path), others=True).count() == 3
+    assert [r.t for r in warc.from_files(spark, str(tmp_path)).select(t=TITLE).collect()] == ["Old"]
+
+
+def test_file_systems(spark, folder):
+    from pyspark.errors import PySparkException
+
+    from sedimenta.sources import store
+
+    assert store.opened("file:///a/b")[1] == store.opened("file:/a/b")[1] == store.opened("/a/b")[1] == "/a/b"
+    with pytest.raises(ValueError, match="nowhere"):
+        store.opened("nowhere://host/x")
+    with pytest.raises(PySparkException, match="nowhere"):
+        warc.scan(spark, "nowhere://host/x").collect()
+    with pytest.raises(PySparkException):
+        warc.scan(spark, f"{folder}/missing").collect()
+    df = spark.createDataFrame([("nowhere://h/x", 0, 5)], "p string, o long, n long")
+    with pytest.raises(PySparkException, match="nowhere"):
+        df.select(warc.read_range(F.col("p"), F.col("o"), F.col("n"))).collect()
+
+
+def test_ranges_in_any_order_and_limited(spark, folder):
+    rows = warc.scan(spark, f"{folder}/two.warc.gz").collect()
+    asked = [(r.path, r.offset, r.compressedSize) for r in reversed(rows)] + [(f"file:{rows[0].path}", rows[0].offset, rows[0].compressedSize), (f"{folder}/none", 0, 1)] + [(r.path, r.offset, r.compressedSize) for r in rows]
+    df = spark.createDataFrame(asked, "p string, o long, n long").coalesce(1)
+    got = [r[0] for r in df.select(warc.read_range(F.col("p"), F.col("o"), F.col("n"))).collect()]
+    want = [bytes(r.content) for r in rows]
+    assert [bytes(x) if x is not None else None for x in got] == [*reversed(want), want[0], None, *want]
+    short = df.select(warc.read_range(F.col("p"), F.col("o"), F.col("n"), 10)).first()[0]
+    assert len(short) == 10
+    assert warc.from_files(spark, f"{folder}/two.warc.gz", Config(max_decompressed=230)).df.select(F.max(F.length("content"))).first()[0] == 230
+
+
+def test_written_tables_are_below_the_applications_folder(spark):
+    from sedimenta.plans import scratch
+
+    path = scratch.path(spark, "x")
+    spark.range(1).write.parquet(path)
+    assert path.startswith(scratch.folder(spark)) and spark.conf.get("spark.app.id") in path
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert system.exists(at)
+
+
+def test_save_rows(spark, tmp_path):
+    from sedimenta.archive import save_rows
+
+    rows = [("a\tb", 'q"x', None), ("", "l1\nl2", "é")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for separator in "\t,":
+        out = f"{tmp_path}/{ord(separator)}"
+        save_rows(df, out, separator, header=True)
+        back = spark.read.options(sep=separator, header="true", escape='"', multiLine="true").csv(out)
+        assert sorted((r.a or "", r.b, r.c) for r in back.collect()) == sorted((a, b, c) for a, b, c in rows)

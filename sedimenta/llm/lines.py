@@ -6,9 +6,11 @@ a third of all pages is no bottleneck, and a site can't have more than (lines a
 bounds what its pages are joined with. Lines are compared by the 64-bit hash of their trimmed text.
 
 Defined results: a null text stays null; blank lines are never boilerplate; lines that are kept are kept unchanged and
-in order, repeats included; a null site is a site of its own; a line held by fewer than ``min_pages`` pages is kept, so
-sites of few pages lose nothing; a page of boilerplate alone becomes empty but stays a row; repeated rows count as
-pages. Further columns are passed through.
+in order, repeats included; a null site is a site of its own; a line held by fewer than ``min_pages`` pages is kept at
+any share, as one or two pages show no habit of the site; a page of boilerplate alone becomes empty but stays a row;
+repeated rows count as pages. Further columns are passed through (those named as a count are replaced by it).
+
+Documents have no URL, so the query takes ``source`` as the site; for pages, ``host`` gives it.
 """
 
 from __future__ import annotations
@@ -18,14 +20,20 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import documents, written
 
-RATIO = 0.1
-MIN_PAGES = 5
+RATIO = 0.02
+MIN_PAGES = 3
 
 
 def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def host(url: str = "url") -> Column:
+    """The host of a URL in lower case, null if there is none."""
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(found != "", found)
+
+
 def boilerplate(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, bad array<bigint>): the hashes of each site's boilerplate lines. Sites without any are absent."""
     pages = docs.select(site.alias("site"), F.split(F.col(text), "\n").alias("lines"))

@@ -8,12 +8,6 @@ ROWS = [(i, f"own {i}\nshared line\n\nshared line\nlast {i}", f"s{i % 2}") for i
 ODD = [(100, None, "s0"), (101, "", "s1"), (102, "shared line", None), (102, "shared line", None), (None, "x y", "s0"), (103, "word " * 5000, "s1"), (104, " \n\t\n", "s2")]
 
 
-def _duck(df, sql):
-    con = duckdb.connect()
-    con.register("documents", df.toArrow())
-    return sorted(map(repr, con.sql(sql).fetchall()))
-
-
 def _same(df, sql, docs):
     want = duckdb.connect()
     want.register("documents", docs.toArrow())
@@ -34,7 +28,15 @@ def test_lines_drop_and_keep(docs):
     got = {r.doc_id: r for r in lines.drop_lines(docs(ROWS + ODD, "site bad lines _site"), F.col("source")).collect()}
     assert got[1].text == "own 1\n\nlast 1" and got[1].n_dropped == 2 and got[1].site == "clash"
     assert got[100].text is None and got[100].n_lines == 0
-    assert got[102].text == "shared line"  # a site of two pages loses nothing
+    assert got[102].text == "shared line"  # on two pages, which show no habit
+
+
+def test_host(spark):
+    urls = ["https://u@WWW.A.org:80/x", "http://b.org", "nope", None, "//c.org/x"]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(lines.host().alias("h")).collect()
+    assert [r.h for r in got] == ["www.a.org", "b.org", None, None, None]
+    pages = spark.createDataFrame([(k, f"http://h{k % 2}.org/{k}", f"menu {k % 2}\nown {k}") for k in range(8)], "page_id long, url string, text string")
+    assert {r.text for r in lines.drop_lines(pages, lines.host()).collect()} == {f"own {k}" for k in range(8)}
 
 
 @pytest.mark.parametrize("rows", [ROWS + ODD, ROWS, ODD, [], [(1, "a b c")], [(i, "a " * (i + 1), f"s{i}") for i in range(9)]])

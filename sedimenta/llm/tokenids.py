@@ -9,8 +9,8 @@ The tokenizers library encodes each distinct word once for a worker; a text is s
 normaliser and pre-tokenizer split it, and its words' ids are put together in numpy. Texts with characters outside of
 what that split is proven for (above U+024F, or not composed) go to the library whole.
 
-Defined results: a null or empty text has only the end id; rows with a null id come first; rows of equal id keep any
-order among themselves (their texts' ids are all kept); no rows give no rows. Further columns don't matter.
+Defined results: a null or empty text has only the end id; rows with a null id come first; rows of equal id are in the
+order of their texts, and ``start`` follows the order in the files; no rows give no rows. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import batched, documents, slices, table_path, text_or_empty
+from sedimenta.llm.common import batched, documents, slices, table_path, text_or_empty, written
 
 END = 2
 ROW_STRIDE = 1000
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END, key: str = "d
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> None:
     """The ids of every document as ORC files, each a range of document ids in ascending order."""
-    rows = docs.select(key, text_or_empty(text).alias("text")).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
+    rows = docs.select(key, text_or_empty(text).alias("text")).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), "text")
     options = {"orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zlib"}
     encode(rows, tokenizer, end, key).write.options(**options).orc(path)
 
@@ -161,26 +161,39 @@ def read_orc(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "l
     """Per document, from the files: ``start`` (ids before it), ``n_tokens`` and ``ids_crc32``."""
 
     def digest(batches):
+        last, n = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            col = b.column(2)
+            col = b.column(3)
             off = np.asarray(col.offsets).astype(np.int64)
             raw = memoryview(np.ascontiguousarray(np.asarray(col.values)).astype("<u4", copy=False).view(np.uint8))
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=["file", key, "n_tokens", "ids_crc32"])
+            nth = []
+            for piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = n + 1 if piece == last else 0
+                last = piece
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nth, pa.int64()), b.column(2), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=["file", "block", "nth", key, "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(f"{key} {kind}, ids array<int>").orc(path)
-    rows = files.select(F.col("_metadata.file_name").alias("file"), key, "ids").mapInArrow(digest, f"file string, {key} {kind}, n_tokens long, ids_crc32 long")
+    rows = files.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), key, "ids")
+    # read once; a piece of a file is read in order
+    rows = written(rows.mapInArrow(digest, f"file string, block long, nth long, {key} {kind}, n_tokens long, ids_crc32 long"), "token-digests")
     # files are ranges in order: one row a file gives where each begins, and only rows of one file are sorted together
     per = rows.groupBy("file").agg(F.min(key).alias("least"), F.max(F.col(key).isNull()).alias("nulls"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy(F.col("nulls").desc(), "least", "file").rowsBetween(Window.unboundedPreceding, -1)
     begins = per.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    here = Window.partitionBy("file").orderBy(F.col(key).asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("begin") + F.coalesce(F.sum("n_tokens").over(here), F.lit(0))
     return rows.join(begins, "file").select(key, start.alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark: SparkSession, path: str, keys: list, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """(key, ids) of some documents: the filter is pushed into the scan, where statistics, row index and Bloom filters skip what can't match."""
+    return spark.read.schema(f"{key} {kind}, ids array<int>").orc(path).filter(F.col(key).isin(keys))
+
+
 def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

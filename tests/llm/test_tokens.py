@@ -45,6 +45,49 @@ def test_orc_repeated_null_and_no_rows(spark, docs, tmp_path):
     assert T.read_orc(spark, f"{tmp_path}/b").collect() == []
 
 
+def test_orc_stripes_indexes_and_lookup(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "STRIPE_BYTES", 4 << 10)
+    monkeypatch.setattr(T, "ROW_STRIDE", 1000)
+    rng = np.random.default_rng(2)
+    words = [f"w{k}x{k * k}" for k in range(4000)]
+    rows = [(i * 7, " ".join(rng.choice(words, 40).tolist())) for i in range(12_000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    T.write_orc(docs(rows).coalesce(1), f"file://{tmp_path}/x", path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stripes, kinds, encodings = 0, set(), set()
+    for f in tmp_path.glob("x/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows_ = reader.rows()
+        for k in range(reader.getStripes().size()):
+            stripes += 1
+            footer = rows_.readStripeFooter(reader.getStripes().get(k))
+            kinds |= {(footer.getStreams(i).getColumn(), footer.getStreams(i).getKind().toString()) for i in range(footer.getStreamsCount())}
+            encodings |= {(i, footer.getColumns(i).getKind().toString()) for i in range(footer.getColumnsCount())}
+        assert reader.getRowIndexStride() == 1000
+        rows_.close()
+    n_files = len(list(tmp_path.glob("x/*.orc")))
+    assert stripes >= n_files > 1
+    assert {(1, "BLOOM_FILTER_UTF8"), (1, "ROW_INDEX"), (3, "ROW_INDEX")} <= kinds and not any(c != 1 and k.startswith("BLOOM") for c, k in kinds)
+    assert {(1, "DIRECT_V2"), (3, "DIRECT_V2")} <= encodings  # integers, run-length encoded
+    found = T.lookup(spark, f"file://{tmp_path}/x", [7, 8, 700])
+    enc = T.Encoder(path)
+    ids, off = enc([dict(rows)[7], dict(rows)[700]])
+    assert {r.doc_id: r.ids for r in found.collect()} == {7: ids[: off[1]].tolist(), 700: ids[off[1] :].tolist()}
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def test_start_follows_the_files(spark, docs, tmp_path):
+    """Rows of one id: ``start`` points at their own ids in the files' order."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    T.write_orc(docs([(5, t) for t in ("c c", "a", "b b b b", "a", None)] + [(4, "d"), (9, "e e")]), f"{tmp_path}/a", path)
+    stored = [(r.doc_id, r.ids) for f in sorted((tmp_path / "a").glob("*.orc")) for r in spark.read.orc(f"file://{f}").coalesce(1).collect()]
+    stored.sort(key=lambda r: r[0])
+    flat = [i for _, x in stored for i in x]
+    got = sorted(T.read_orc(spark, f"{tmp_path}/a").collect(), key=lambda r: r.start)
+    assert [zlib.crc32(np.array(flat[r.start : r.start + r.n_tokens], "<u4").tobytes()) for r in got] == [r.ids_crc32 for r in got]
+    assert [r.doc_id for r in got] == [i for i, _ in stored] and len(got) == 7
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

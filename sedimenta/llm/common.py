@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedimenta.plans import scratch
+
 U64 = np.uint64
 #: Rows of text are handled in slices of about this many bytes, whatever the size of the Arrow batch.
 SLICE_BYTES = 1 << 20
@@ -23,32 +23,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows in an Arrow batch: Spark's default of 10,000 long texts can exceed a worker's memory.
+#: Rows and bytes in an Arrow batch: Spark's default of 10,000 rows of long texts can exceed a worker's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
+
+    The settings stay: a plan reads them when it runs, which may be after any call returns.
+    """
+    conf, name, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)
+    if conf.get(size).rstrip("b") == str(64 << 20):  # Spark's default
+        conf.set(size, BATCH_BYTES)
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir`` where the session has it.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that every executor sees."""
+    return scratch.path(spark, tag)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -53,3 +53,19 @@ def test_no_rows(spark, docs, folder):
     sf = folder(documents=docs([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert C.run(spark, sf).collect() == []
     assert toxicity.scored(docs([]), toxicity.labels_of(spark, sf)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, docs, folder):
+    """Nulls in any column, ties, rows repeated whole, and columns named as what operators add."""
+    d, labels = _tables(spark, docs)
+    d = d.unionAll(docs([(None, None, None), (None, None, None), (7, "another text of id seven", "s1"), (4000, "x " * 50_000, None)]))
+    for c in ("score", "predicted", "n_lines", "n_dropped", "component_id", "fp", "size", "repeats", "target", "ids", "n_tokens", "_lost"):
+        d = d.withColumn(c, F.lit("clash"))
+    sf = folder(documents=d, labels=labels)
+    got = C.run(spark, sf)
+    rows = got.collect()
+    assert got.columns == d.columns and {r.score for r in rows} == {"clash"} == {r.component_id for r in rows}
+    assert all((r.ids is None) == (r.text is None) and r.n_tokens == (None if r.ids is None else len(r.ids)) for r in rows)
+    assert not any(r.text and "vilefoo" in r.text and r.doc_id is not None for r in rows)
+    again = Counter(map(repr, C.run(spark, sf).collect()))
+    assert again == Counter(map(repr, rows))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import U64, batched, buffers, documents, lowered, slices, text_or_empty, words_of, written
+from sedimenta.llm.common import U64, batched, buffers, documents, free, lowered, slices, text_or_empty, words_of, written
 
 SEED = 42
 SHINGLE = 3
@@ -355,14 +355,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", block: in
 
     Rows with a null id stay (they can't be named). Rows of one id but different texts count as that id's document.
     """
+    gone, twice, first = (free(c, docs.columns) for c in ("_lost", "_again", "_first"))
     rows = written(linked(docs, key, text, block).select(key, "component_id"), "simhash-linked")
-    lost = written(rows.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_lost")).distinct(), "simhash-lost")
-    kept = docs.join(lost, F.col(key) == F.col("_lost"), "left_anti")
-    again = written(rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again"), "simhash-again")
+    lost = written(rows.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias(gone)).distinct(), "simhash-lost")
+    kept = docs.join(lost, F.col(key) == F.col(gone), "left_anti")
+    again = written(rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(twice)).agg(F.count("*").alias("n")).filter("n > 1").select(twice), "simhash-again")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, F.col(key) == F.col("_again"), "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("_first")).select("_first.*")
-    return kept.join(again, F.col(key) == F.col("_again"), "left_anti").unionAll(twice)
+    one = kept.join(again, F.col(key) == F.col(twice), "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(first)).select(f"{first}.*")
+    return kept.join(again, F.col(key) == F.col(twice), "left_anti").unionAll(one)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ is marked so that Spark doesn't duplicate it).
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -87,6 +88,15 @@ class Archive:
 
     exists = has
 
+    def fields(self, hidden: bool = False) -> dict[str, str]:
+        """The places of the tree in dot notation, each with its type; ``hidden``: those that aren't rendered too."""
+        return {show(k): _arrays(f.dtype, f.depth) for k, f in sorted(self.tree.items()) if hidden or not f.hidden}
+
+    def enrichments(self, pointer="") -> list[str]:
+        """Names of what has been derived right below a place."""
+        at = self._key(self._find(_path(pointer))) if pointer else ()
+        return sorted({k[len(at)] for k in self.tree if len(k) > len(at) and k[: len(at)] == at and k[len(at)] != "*"})
+
     def is_enriched(self, func: Func) -> bool:
         return all((*self._key(func.base), f) in self.tree for f in func.fields)
 
@@ -254,7 +264,22 @@ class Archive:
             rows = [lifted(v, depth) for v in value.to_pylist()]
             return pa.array([{**{f"f{k}": r[0][k] for k in range(len(fields))}, "e": r[1]} for r in rows], _arrow(out))
 
-        udf = F.arrow_udf(run, out).asNondeterministic()
+        if func.cleanup is None:
+            udf = F.arrow_udf(run, out).asNondeterministic()
+        else:
+            import pyarrow as pa
+
+            def partition(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                made.clear()
+                try:
+                    for value in values:
+                        yield run(value)
+                finally:
+                    if made:
+                        func.cleanup(made.pop())
+
+            partition.__annotations__ = {"values": Iterator[pa.Array], "return": Iterator[pa.Array]}
+            udf = F.arrow_udf(partition, out).asNondeterministic()
 
         def step(df: DataFrame) -> DataFrame:
             df = df.withColumn("__d", udf(arg))

@@ -17,11 +17,12 @@ class Func(Pointer):
 
     ``fields``: name to type. ``expr`` maps the source's Column to the fields' Columns and stays in the JVM; ``py`` maps
     one value to a dict of values and runs Arrow-batched. ``setup`` makes what ``py`` gets as second argument, once for
-    a worker (a model). ``namespace``: segments between the source and the fields.
+    a worker (a model); with ``cleanup`` it is made for each partition and handed to ``cleanup`` at its end, whatever
+    happens. ``namespace``: segments between the source and the fields.
     """
 
-    def __init__(self, fields, source=None, expr=None, py=None, namespace=(), multi=(), default=None, load="text", setup=None, context=()):
-        self.fields, self.expr, self.py, self.setup = dict(fields), expr, py, setup
+    def __init__(self, fields, source=None, expr=None, py=None, namespace=(), multi=(), default=None, load="text", setup=None, context=(), cleanup=None):
+        self.fields, self.expr, self.py, self.setup, self.cleanup = dict(fields), expr, py, setup, cleanup
         self.namespace, self.multi_fields, self.load, self.context = tuple(namespace), frozenset(multi), load, tuple(context)
         self.default = default or next(iter(self.fields))
         self.source = source

@@ -70,6 +70,14 @@ class Pointer:
                 path.pop()
         return self._to(tuple(path))
 
+    @property
+    def chain(self) -> list[Pointer]:
+        """The places from the record's own on down to this one."""
+        out = [self]
+        while out[0].parent.path:
+            out.insert(0, out[0].parent)
+        return out
+
     def sibling(self, name: str) -> Pointer:
         return self.up(1).child(name)
 

@@ -247,3 +247,62 @@ def test_save_rows(spark, tmp_path):
         save_rows(df, out, separator, header=True)
         back = spark.read.options(sep=separator, header="true", escape='"', multiLine="true").csv(out)
         assert sorted((r.a or "", r.b, r.c) for r in back.collect()) == sorted((a, b, c) for a, b, c in rows)
+
+
+def test_registry(spark, folder):
+    from sedimenta.sources import registry
+
+    assert {"cdx", "warc", "warc-cdx", "files"} <= set(registry.names())
+    assert sorted(r.t for r in registry.open_source(spark, "warc", f"{folder}/two.warc.gz", revisits=False).select(t=TITLE).collect()) == ["A é", "B"]
+    assert registry.open_source(spark, "files", folder, patterns=[r"plain\.warc"]).df.count() == 1
+
+    class Numbers(registry.Source):
+        def __init__(self, n):
+            self.n = n
+
+        def load(self, spark):
+            return spark.range(self.n)
+
+    registry.register("numbers", Numbers)
+    assert registry.open_source(spark, "numbers", 3).filter("id > 0").df.count() == 2
+    with pytest.raises(KeyError, match="numbers"):
+        registry.open_source(spark, "none")
+
+
+def test_cleanup_of_a_partition(spark, tmp_path):
+    from sedimenta.archive import Field
+    from sedimenta.operators.functions import Func
+    from sedimenta.operators.paths import parse
+
+    log = str(tmp_path)
+
+    def setup():
+        import uuid
+
+        name = uuid.uuid4().hex
+        open(f"{log}/made-{name}", "w").close()
+        return name
+
+    def cleanup(name):
+        os.rename(f"{log}/made-{name}", f"{log}/closed-{name}")
+
+    def derive(v, name):
+        if v == "5":
+            raise ValueError("five")
+        return {"x": v + "!"}
+
+    df = spark.range(40).selectExpr("id", "cast(id AS string) AS text").repartition(3)
+    a = Archive(df, ["id"], {parse("payload.string"): Field("text", "string", hidden=True)})
+    f = Func({"x": "string"}, py=derive, setup=setup, cleanup=cleanup)
+    rows = a.enrich(f).select("id", x=f).collect()
+    assert {r.id: r.x for r in rows} == {k: None if k == 5 else f"{k}!" for k in range(40)}
+    names = os.listdir(tmp_path)
+    assert names and all(n.startswith("closed-") for n in names)
+
+
+def test_navigation(spark):
+    df = spark.createDataFrame([(1, "http://a.org/", "<title>T</title>")], "page_id long, url string, html string")
+    a = Archive.of_pages(df).enrich(TITLE)
+    assert "payload.string.html.title.text" in a.fields() and a.fields()["payload.string.html.title.text"] == "string"
+    assert a.enrichments("payload.string.html") == ["title"] and a.enrichments("payload.string.html.title") == ["text"]
+    assert [p.path[-1] for p in Pointer("payload.string.html").chain] == ["payload", "string", "html"]

@@ -27,11 +27,16 @@ ERROR = "__error"
 
 @dataclass(frozen=True)
 class Config:
-    """``catch_exceptions``: a failing derivation gives null and an error, else it fails the job. ``include_errors``: show it in JSON."""
+    """``catch_exceptions``: a failing derivation gives null and an error, else it fails the job. ``include_errors``: show it in JSON.
+
+    ``max_decompressed``: most bytes that a stored record may grow to (0: any). ``text_limit``: bytes of a payload that
+    become text (0: all).
+    """
 
     catch_exceptions: bool = True
     include_errors: bool = True
     max_decompressed: int = 0
+    text_limit: int = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -225,7 +230,7 @@ class Archive:
         if self.root_func is None:
             raise KeyError(f"this archive's records have no {load}")
         a = self._derive(self.root_func, hidden=True)
-        return a._derive(StringContent(), hidden=True) if load == "text" else a
+        return a._derive(StringContent(self.config.text_limit), hidden=True) if load == "text" else a
 
     def _python(self, func: Func, col: Column, depth: int, names: dict[str, str]):
         """A step with one Arrow-batched UDF for all fields; errors come along as one more field."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.archive import Archive, Field, load_json, save_rows, save_text
+from sedimenta.archive import Archive, Config, Field, load_json, save_rows, save_text
 from sedimenta.functions import entities, http, urls
 from sedimenta.operators import graph, revisits
 from sedimenta.operators.functions import AbsoluteUrl, Data, Entities, Html, HtmlAttribute, HtmlText, HttpPayload, LowerCase, SURT, StringContent, Values
@@ -414,7 +414,7 @@ def http_header_mime_charset(spark, sf_dir):
 @_query("SELECT page_id, trim(html) AS string FROM pages")
 def string_content_decode(spark, sf_dir):
     a = Archive(_responses(spark, sf_dir), ["page_id", "originalUrl"], root_func=HttpPayload())
-    return a.enrich(StringContent()).select("page_id", string=StringContent())
+    return a.enrich(StringContent(limit=0)).select("page_id", string=StringContent(limit=0))
 
 
 @_query(f"SELECT page_id, octet_length(encode(html))::BIGINT + {len(_HEAD)} AS n FROM pages")
@@ -438,7 +438,7 @@ def warc_roundtrip(spark, sf_dir):
 
 @_query("SELECT url AS \"originalUrl\", $TITLE_TEXT AS title FROM pages WHERE url LIKE '%/en/%'")
 def warc_by_index(spark, sf_dir):
-    a = warc.from_files_with_cdx(spark, _written_warc(spark, sf_dir)).filter("originalUrl like '%/en/%'")
+    a = warc.from_files_with_cdx(spark, _written_warc(spark, sf_dir), Config(text_limit=0)).filter("originalUrl like '%/en/%'")
     return a.select("originalUrl", title=TITLE)
 
 

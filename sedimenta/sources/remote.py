@@ -6,6 +6,7 @@ testable offline.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlencode
@@ -49,8 +50,11 @@ def cdx_query(server: str, url: str, match_prefix: bool = False, from_: int = 0,
     return f"{server}?{urlencode(args)}"
 
 
-def captures(spark: SparkSession, query: str, pages: int = 50, partitions: int = 0, get: Callable[[str], Fetched | None] = fetch) -> DataFrame:
-    """The capture rows of a CDX query. A page that can't be fetched is skipped; one page is asked for without a number."""
+def captures(spark: SparkSession, query: str, pages: int = 50, partitions: int = 0, get: Callable[[str], Fetched | None] = fetch, strict: bool = False) -> DataFrame:
+    """The capture rows of a CDX query; one page is asked for without a number.
+
+    A page that can't be fetched is skipped with a warning in the executor's log, or fails the job if ``strict``.
+    """
     urls = [query] if pages == 1 else [f"{query}&page={k}" for k in range(pages)]
     asked = spark.createDataFrame([(u,) for u in urls], "url string").repartition(min(partitions or pages, pages))
 
@@ -61,7 +65,11 @@ def captures(spark: SparkSession, query: str, pages: int = 50, partitions: int =
             lines = []
             for u in b.column(0).to_pylist():
                 got = get(u)
-                if got is not None:
+                if got is None:
+                    if strict:
+                        raise OSError(f"can't fetch {u}")
+                    logging.getLogger(__name__).warning("skipped %s", u)
+                else:
                     lines += [x for x in got[2].decode("utf-8", "replace").splitlines() if x.strip()]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 

@@ -146,6 +146,8 @@ def test_remote(spark, tmp_path):
     assert len(rows) == 2 and rows[0].t == "W" and rows[0].compressedSize == 120
     assert [tuple(h) for h in rows[0].h] == [("Content-Type", "text/html"), ("X-Thing", "v")]
     assert remote.captures(spark, "http://index.test/cdx?url=a", pages=1, get=get).count() == 1
+    with pytest.raises(Exception, match="can't fetch"):
+        remote.captures(spark, "http://index.test/cdx?url=a", pages=1, get=lambda u: None, strict=True).count()
     assert "matchType=prefix" in remote.cdx_query("s", "a", True) and "from" not in remote.cdx_query("s", "a")
     (tmp_path / "l.cdx").write_text(line.replace("SHA 120", "SHA - - 120") + "\n")
     assert remote.from_local_cdx(spark, f"{tmp_path}/l.cdx", service.replay, get).select(t=TITLE).first().t == "W"

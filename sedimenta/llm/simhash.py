@@ -320,7 +320,9 @@ def _forest(kind: str):
 def components(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
     """(u, v): for each node that has a link and isn't the least of its component, that least node. ``kind``: long or string."""
     links = written(pairs.select(F.col(a).cast(kind), F.col(b).cast(kind)).mapInArrow(_forest(kind), f"u {kind}, v {kind}"), "links")
-    while True:
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(links)
+    while before[0]:
         # large star: every neighbour above a node is linked to the node's least neighbour
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -330,11 +332,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "long")
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "links")
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = mark(now) == mark(links)
-        links = now
-        if done:
-            return links
+        links, last, before = now, before, mark(now)
+        if before == last:
+            break
+    return links
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -9,8 +9,8 @@ The tokenizers library encodes each distinct word once for a worker; a text is s
 normaliser and pre-tokenizer split it, and its words' ids are put together in numpy. Texts with characters outside of
 what that split is proven for (above U+024F, or not composed) go to the library whole.
 
-Defined results: a null or empty text has only the end id; rows with a null id come first; rows of equal id are in the
-order of their texts, and ``start`` follows the order in the files; no rows give no rows. Further columns don't matter.
+Defined results: a null or empty text has only the end id; rows with a null id come first; rows of equal id are in an
+order that their texts fix, and ``start`` follows the order in the files; no rows give no rows. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -151,8 +151,12 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END, key: str = "d
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> None:
-    """The ids of every document as ORC files, each a range of document ids in ascending order."""
-    rows = docs.select(key, text_or_empty(text).alias("text")).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), "text")
+    """The ids of every document as ORC files, each a range of document ids in ascending order; their names are in that order.
+
+    Ranges are of (id, hash of the text), so an id that many rows share is split too.
+    """
+    order = [F.col(key).asc_nulls_first(), F.xxhash64("text")]
+    rows = docs.select(key, text_or_empty(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     options = {"orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zlib"}
     encode(rows, tokenizer, end, key).write.options(**options).orc(path)
 
@@ -180,9 +184,9 @@ def read_orc(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "l
     rows = files.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), key, "ids")
     # read once; a piece of a file is read in order
     rows = written(rows.mapInArrow(digest, f"file string, block long, nth long, {key} {kind}, n_tokens long, ids_crc32 long"), "token-digests")
-    # files are ranges in order: one row a file gives where each begins, and only rows of one file are sorted together
-    per = rows.groupBy("file").agg(F.min(key).alias("least"), F.max(F.col(key).isNull()).alias("nulls"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy(F.col("nulls").desc(), "least", "file").rowsBetween(Window.unboundedPreceding, -1)
+    # files are ranges in the order of their numbers: one row a file gives where each begins, and only rows of one file are sorted together
+    per = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     begins = per.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     here = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("begin") + F.coalesce(F.sum("n_tokens").over(here), F.lit(0))

@@ -88,6 +88,22 @@ def test_start_follows_the_files(spark, docs, tmp_path):
     assert [r.doc_id for r in got] == [i for i, _ in stored] and len(got) == 7
 
 
+def test_hot_id_is_split(spark, docs, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(5, f"some text {k}") for k in range(3000)] + [(k, f"t {k}") for k in range(10)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_orc(docs(rows), f"{tmp_path}/a", path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    sizes = [spark.read.orc(f"file://{f}").filter("doc_id = 5").count() for f in sorted((tmp_path / "a").glob("*.orc"))]
+    assert sum(sizes) == 3001 and max(sizes) < 1000
+    got = sorted(T.read_orc(spark, f"{tmp_path}/a").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

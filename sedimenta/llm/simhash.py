@@ -317,9 +317,19 @@ def _forest(kind: str):
     return run
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
-    """(u, v): for each node that has a link and isn't the least of its component, that least node. ``kind``: long or string."""
-    links = written(pairs.select(F.col(a).cast(kind), F.col(b).cast(kind)).mapInArrow(_forest(kind), f"u {kind}, v {kind}"), "links")
+#: Links that one task's union-find settles alone, about 100 MB; more are settled by rounds.
+_FEW = 1 << 18
+
+
+def components(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "long", few: int = _FEW) -> DataFrame:
+    """(u, v): for each node that has a link and isn't the least of its component, that least node. ``kind``: long or string.
+
+    ``pairs`` should be a written table: its rows are counted, and up to ``few`` of them are settled in one task.
+    """
+    rows = pairs.select(F.col(a).cast(kind), F.col(b).cast(kind))
+    if rows.count() <= few:
+        return written(rows.coalesce(1).mapInArrow(_forest(kind), f"u {kind}, v {kind}"), "links")
+    links = written(rows.mapInArrow(_forest(kind), f"u {kind}, v {kind}"), "links")
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(links)
     while before[0]:

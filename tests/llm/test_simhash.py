@@ -83,3 +83,27 @@ def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 3)]
     got = {r.u: r.v for r in S.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
     assert got == {i: i // 20 * 20 for i in range(60) if i % 20} | {100: 0}
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    import random
+
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for x in root if find(x) != x}
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    names = spark.createDataFrame([(f"{a:05d}", f"{b:05d}") for a, b in pairs], "a string, b string").repartition(7)
+    for few in (10**6, 0):
+        assert {tuple(r) for r in S.components(df, few=few).collect()} == want
+        assert {tuple(r) for r in S.components(names, kind="string", few=few).collect()} == {(f"{a:05d}", f"{b:05d}") for a, b in want}
+    assert S.components(df.limit(0)).collect() == []

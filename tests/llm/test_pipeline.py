@@ -49,6 +49,24 @@ def test_stages(spark, docs, folder):
     assert Counter(map(repr, run.collect())) == Counter(map(repr, last.collect()))
 
 
+def test_toxicity_by_a_model_beyond_what_is_broadcast(spark, docs, folder, monkeypatch):
+    """The stage keeps the same rows if the model is more than may be broadcast."""
+    d, labels = _tables(spark, docs)
+    d = d.unionAll(docs([(None, None, None), (None, None, None), (1, "vilefoo " * 9, "s1"), (4000, "vilefoo " * 9, None)]))
+    for c in ("_score", "_digest", "_evidence", "_weighed"):
+        d = d.withColumn(c, F.lit("clash"))
+    sf = folder(documents=d, labels=labels)
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    want = Counter(map(repr, C.drop_toxic(spark, rows, sf).collect()))
+    assert sum(want.values()) < rows.count() - 200
+    sizes, ratios = [], toxicity.ratios
+    monkeypatch.setattr(toxicity, "MOST", 3)
+    monkeypatch.setattr(toxicity, "ratios", lambda *a, **k: sizes.append((out := ratios(*a, **k)).count()) or out)
+    clean = C.drop_toxic(spark, rows, sf)
+    assert clean.columns == rows.columns and Counter(map(repr, clean.collect())) == want
+    assert sizes[0] > 3  # the whole model
+
+
 def test_no_rows(spark, docs, folder):
     sf = folder(documents=docs([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert C.run(spark, sf).collect() == []

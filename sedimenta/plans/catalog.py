@@ -456,7 +456,7 @@ def _written_raw(spark, sf_dir) -> str:
 @_query(f"SELECT doc_id, md5(line) AS line FROM {_RAW_LINES}")
 def raw_files_lines(spark, sf_dir):
     found = files.files(spark, _written_raw(spark, sf_dir), [r".*\.txt\.gz"])
-    lines = found.select(F.explode(files.lines_of(files.decompressed(F.col("content"), F.col("path")))).alias("x")).filter(F.contains("x", F.lit("\t")))
+    lines = files.lines(found).select(F.col("value").alias("x")).filter(F.contains("x", F.lit("\t")))
     at = F.instr("x", "\t")
     return lines.select(F.substring("x", F.lit(1), at - 1).cast("long").alias("doc_id"), F.md5(F.substring("x", at + 1, F.length("x")).cast("binary")).alias("line"))
 

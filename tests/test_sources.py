@@ -125,6 +125,24 @@ def test_files(spark, tmp_path):
     assert a.select(t=TITLE).first().t == "T"
 
 
+def test_lines_are_streamed(spark, tmp_path, monkeypatch):
+    whole = b"a\r\nb\rc\n\n" + "é€\n".encode() * 900_000 + b"x" * 3_000_000 + b"\ntail\r"
+    zipped = gzip.compress(whole)
+    for name, data in {"whole.gz": zipped, "plain.txt": whole, "cut.gz": zipped[:-9], "junk.gz": b"no gzip", "bad.gz": zipped[:40] + b"\xff" * 99 + zipped[139:], "empty.gz": gzip.compress(b""), "none.txt": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    sizes = []
+    chunks = files._chunks
+    monkeypatch.setattr(files, "_chunks", lambda p: (sizes.append(len(c)) or c for c in chunks(p)))
+    batches = [*files._lines(files._chunks(str(tmp_path / "whole.gz")))]
+    assert max(sizes) <= 1 << 20 and len(sizes) > 6 and max(sum(map(len, b)) for b in batches) <= 4_200_000
+    monkeypatch.undo()
+    found = files.files(spark, str(tmp_path))
+    assert "content" not in files.lines(found)._jdf.queryExecution().executedPlan().toString()
+    old = found.select(F.explode(files.lines_of(files.decompressed(F.col("content"), F.col("path")))).alias("value"))
+    new, old = (df.groupBy("value").count().collect() for df in (files.lines(found), old))
+    assert sorted(new) == sorted(old) and sum(r["count"] for r in new) == 2 * 900_005 + 1  # Spark leaves out files of no bytes
+
+
 def test_hadoop(spark, tmp_path):
     (tmp_path / "x").write_text("a\nb")
     df = files.hadoop(spark, str(tmp_path / "x"), "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text", "key long, value string")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedimenta.batches import batched, cut, release
 from sedimenta.operators.functions import LOADS, Func, Identity, Values
 from sedimenta.operators.paths import Pointer, is_index, parse, show
 
@@ -233,10 +234,14 @@ class Archive:
         return a._derive(StringContent(self.config.text_limit), hidden=True) if load == "text" else a
 
     def _python(self, func: Func, col: Column, depth: int, names: dict[str, str]):
-        """A step with one Arrow-batched UDF for all fields; errors come along as one more field."""
+        """A step with one Arrow-batched UDF for all fields; errors come along as one more field.
+
+        Of a batch, only a slice at a time is made Python objects and handed back, so a worker's memory follows neither
+        the table nor the batch.
+        """
         kinds = {f: _arrays(dtype, depth) for f, dtype in func.fields.items()}
         out = T.StructType.fromDDL(", ".join(f"f{k} {d}" for k, d in enumerate(kinds.values())) + ", e string")
-        py, setup, catch = func.py, func.setup, self.config.catch_exceptions
+        py, setup, cleanup, catch = func.py, func.setup, func.cleanup, self.config.catch_exceptions
         fields = list(func.fields)
         arg = col
         if "@httpHeader" in func.context:
@@ -263,31 +268,27 @@ class Archive:
             rows = [lifted(x, d - 1) for x in v]
             return tuple([r[0][k] for r in rows] for k in range(len(fields))), next((r[1] for r in reversed(rows) if r[1]), None)
 
-        def run(value):
-            import pyarrow as pa
+        import pyarrow as pa
 
-            rows = [lifted(v, depth) for v in value.to_pylist()]
-            return pa.array([{**{f"f{k}": r[0][k] for k in range(len(fields))}, "e": r[1]} for r in rows], _arrow(out))
-
-        if func.cleanup is None:
-            udf = F.arrow_udf(run, out).asNondeterministic()
-        else:
-            import pyarrow as pa
-
-            def partition(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            if cleanup is not None:
                 made.clear()
-                try:
-                    for value in values:
-                        yield run(value)
-                finally:
-                    if made:
-                        func.cleanup(made.pop())
-
-            partition.__annotations__ = {"values": Iterator[pa.Array], "return": Iterator[pa.Array]}
-            udf = F.arrow_udf(partition, out).asNondeterministic()
+            try:
+                for value in values:
+                    for part in cut(value):
+                        rows = [lifted(v, depth) for v in part.to_pylist()]
+                        yield pa.array([{**{f"f{k}": r[0][k] for k in range(len(fields))}, "e": r[1]} for r in rows], _arrow(out))
+                        del rows
+            finally:
+                if cleanup is not None and made:
+                    cleanup(made.pop())
+                release()
+
+        run.__annotations__ = {"values": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        udf = F.arrow_udf(run, out).asNondeterministic()
 
         def step(df: DataFrame) -> DataFrame:
-            df = df.withColumn("__d", udf(arg))
+            df = batched(df).withColumn("__d", udf(arg))
             df = df.withColumns({names[f]: F.col(f"__d.f{k}") for k, f in enumerate(fields)})
             old = F.col(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
             return df.withColumn(ERROR, F.coalesce(F.col("__d.e"), old)).drop("__d")

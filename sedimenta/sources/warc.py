@@ -12,20 +12,23 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sedimenta.archive import Archive, Config
+from sedimenta.batches import BATCH_ROWS, SLICE_BYTES, batched, cut, release
 from sedimenta.functions import http, urls
 from sedimenta.operators.functions import WarcPayload
 from sedimenta.sources import cdx, store
 
-_CHUNK = 1 << 20
+#: Bytes that are read at a time (what a record leaves of them is copied), and bytes that a file system is asked for.
+_CHUNK, _BUFFER = 1 << 16, 1 << 20
 
 
 def members(read, limit: int = 0) -> Iterator[tuple[int, int, bytes]]:
@@ -123,7 +126,7 @@ class WarcSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options, [f.name for f in schema])
+        return _Writer(self.options)
 
 
 class _Reader(DataSourceReader):
@@ -139,11 +142,29 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File):
         if not partition.path:
             return
-        with store.opened(self.path)[0].open_input_stream(partition.path, compression=None) as f:
+        rows, size = [], 0
+        with store.opened(self.path)[0].open_input_stream(partition.path, compression=None, buffer_size=_BUFFER) as f:
             for offset, length, record in members(f.read, self.limit):
                 got = capture_of(record, offset, length, posixpath.basename(partition.path), self.revisits, self.others)
-                if got is not None:
-                    yield (*got, partition.path, record)
+                if got is None:
+                    continue
+                rows.append((*got, partition.path, record))
+                size += len(record)
+                if size >= SLICE_BYTES or len(rows) >= BATCH_ROWS:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+        release()
+
+
+def _batch(rows: list[tuple]):
+    """Spark would gather rows by their number, whatever their size."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in _SCHEMA.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names)
 
 
 @dataclass
@@ -152,56 +173,51 @@ class _Done(WriterCommitMessage):
     files: list
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """One file a task, ``<prefix>-<number>.warc[.gz]``, first under a name of its own attempt, renamed on commit."""
 
-    def __init__(self, options: dict, columns: list[str]):
-        self.o, self.columns = dict(options), columns
+    def __init__(self, options: dict):
+        self.o = dict(options)
         self.url = options["path"]
         system, self.path = store.opened(self.url)
         system.create_dir(self.path, recursive=True)
 
-    def write(self, rows: Iterator[Row]) -> _Done:
+    def write(self, iterator: Iterator) -> _Done:
         from pyspark import TaskContext
 
         system = store.opened(self.url)[0]
         number = TaskContext.get().partitionId()
         gz, index = self.o.get("gzip", "true") == "true", self.o.get("cdx", "true") == "true"
         name = f"{self.o.get('prefix', 'part')}-{number:05d}.warc{'.gz' if gz else ''}"
-        temp = posixpath.join(self.path, f".{name}.{uuid.uuid4().hex}")
-        out, side, count, at = None, [], 0, 0
-        try:
-            for row in rows:
-                row = row.asDict()
+        cdx_name = name.removesuffix(".gz") + ".cdx" + (".gz" if gz else "")
+        temp, temp2 = (posixpath.join(self.path, f".{n}.{uuid.uuid4().hex}") for n in (name, cdx_name))
+        count = at = 0
+        with ExitStack() as opened:
+            out = side = None
+            for row in (row for batch in iterator for part in cut(batch) for row in part.to_pylist()):
                 if row.get("payload") is None:
                     continue
                 if out is None:  # no empty files
-                    out = system.open_output_stream(temp, compression=None)
+                    out = opened.enter_context(system.open_output_stream(temp, compression=None))
                     first = _member(_info(self.o, name), gz)
                     out.write(first)
                     at += len(first)
+                    if index:
+                        side = opened.enter_context(system.open_output_stream(temp2, compression=None))
+                        side = opened.enter_context(gzip.GzipFile("", "wb", fileobj=side, mtime=0)) if gz else side
+                        side.write(b" CDX N b a m s k r M S V g\n")
                 record = _response(row)
                 stored = _member(record, gz)
                 out.write(stored)
                 count += 1
-                got = capture_of(record, at, len(stored), name)
+                got = capture_of(record, at, len(stored), name) if index else None
                 if got is not None:
-                    side.append(" ".join("-" if v is None else str(v).replace(" ", "%20") for v in got))
+                    side.write((" ".join("-" if v is None else str(v).replace(" ", "%20") for v in got) + "\n").encode())
                 at += len(stored)
-        finally:
-            if out is not None:
-                out.close()
+        release()
         if out is None:
             return _Done(0, [])
-        files = [(temp, posixpath.join(self.path, name))]
-        if index:
-            cdx_name = name.removesuffix(".gz") + ".cdx" + (".gz" if gz else "")
-            temp2 = posixpath.join(self.path, f".{cdx_name}.{uuid.uuid4().hex}")
-            text = ("\n".join([" CDX N b a m s k r M S V g", *side]) + "\n").encode()
-            with system.open_output_stream(temp2, compression=None) as f:
-                f.write(gzip.compress(text, mtime=0) if gz else text)
-            files.append((temp2, posixpath.join(self.path, cdx_name)))
-        return _Done(count, files)
+        return _Done(count, [(t, posixpath.join(self.path, n)) for t, n in ((temp, name), (temp2, cdx_name))[: 1 + index]])
 
     def commit(self, messages) -> None:
         system = store.opened(self.url)[0]
@@ -268,40 +284,53 @@ def scan(spark: SparkSession, path: str, revisits: bool = True, others: bool = F
 def read_range(path: Column, offset: Column, length: Column, limit: int = 0) -> Column:
     """The bytes of a stored record, decompressed if it is a gzip member; null if it can't be read.
 
-    A batch is read in the order of files and offsets. ``limit``: most bytes that a record may grow to (0: any). A path
+    About a quarter of ``SLICE_BYTES`` of stored records are read at a time, in the order of files and offsets. ``limit``: most bytes that a record may grow to (0: any). A path
     on a file system that can't be opened is an error.
     """
 
-    @F.arrow_udf("binary")
-    def run(paths, offsets, lengths):
-        import pyarrow as pa
-
-        rows = [*zip(paths.to_pylist(), offsets.to_pylist(), lengths.to_pylist())]
-        out: list[bytes | None] = [None] * len(rows)
-        name, f = None, None
-        try:
-            for k in sorted((k for k, r in enumerate(rows) if None not in r and r[1] >= 0 and r[2] >= 0), key=lambda k: rows[k]):
-                p, o, n = rows[k]
-                system, at = store.opened(p)
-                try:
-                    if p != name:
-                        if f:
-                            f.close()
-                        f, name = None, p
-                        f = system.open_input_file(at)
-                    if f is None:
-                        continue
-                    f.seek(o)
-                    data = f.read(n)
-                    out[k] = zlib.decompressobj(31).decompress(data, limit) if data[:2] == b"\x1f\x8b" else data
-                except (OSError, zlib.error):
-                    pass
-        finally:
-            if f:
-                f.close()
-        return pa.array(out, pa.binary())
+    import pyarrow as pa
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows, size = [], 0
+            for row in zip(*(c.to_pylist() for c in columns)):
+                rows.append(row)
+                size += max(0, row[2] or 0)
+                if size >= SLICE_BYTES // 4:
+                    yield pa.array(_ranges(rows, limit), pa.binary())
+                    rows, size = [], 0
+            if rows:
+                yield pa.array(_ranges(rows, limit), pa.binary())
+        release()
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(path, offset, length)
 
-    return run(path, offset, length)
+
+def _ranges(rows: list[tuple], limit: int) -> list[bytes | None]:
+    out: list[bytes | None] = [None] * len(rows)
+    name, f = None, None
+    try:
+        for k in sorted((k for k, r in enumerate(rows) if None not in r and r[1] >= 0 and r[2] >= 0), key=lambda k: rows[k]):
+            p, o, n = rows[k]
+            system, at = store.opened(p)
+            try:
+                if p != name:
+                    if f:
+                        f.close()
+                    f, name = None, p
+                    f = system.open_input_file(at)
+                if f is None:
+                    continue
+                f.seek(o)
+                data = f.read(n)
+                out[k] = zlib.decompressobj(31).decompress(data, limit) if data[:2] == b"\x1f\x8b" else data
+            except (OSError, zlib.error):
+                pass
+    finally:
+        if f:
+            f.close()
+    return out
 
 
 def of_rows(rows: DataFrame, config: Config = Config()) -> Archive:
@@ -344,7 +373,7 @@ def save(archive: Archive, path: str, prefix: str = "part", compress: bool = Tru
     cols = [(F.col(f"`{f.column}`") if f else F.lit(None)).cast(kinds[n]).alias(n) for n, f in take.items()]
     base = [(F.col(c) if c in a.df.columns else F.lit(None)).cast("string").alias(c) for c in ("originalUrl", "timestamp")]
     options = {"prefix": prefix, "gzip": str(compress).lower(), "cdx": str(index).lower(), "publisher": publisher, "software": software or spark.sparkContext.appName}
-    a.df.select(*base, *cols).write.format("warc").mode("append").options(**options, **({"created": created} if created else {})).save(path)
+    batched(a.df).select(*base, *cols).write.format("warc").mode("append").options(**options, **({"created": created} if created else {})).save(path)
     system, at = store.opened(path)
     with system.open_input_stream(posixpath.join(at, "_COUNT")) as f:
         return int(f.read())

@@ -95,6 +95,18 @@ def test_write_index_and_read(spark, folder, tmp_path):
     assert sorted(ids) == ["<urn:x:http://a.org/>", "<urn:x:http://b.org/>"]
 
 
+def test_records_in_batches_of_bounded_bytes(spark, tmp_path):
+    page = os.urandom(100_000).hex()
+    rows = spark.range(40).repartition(1).select(F.concat(F.lit("http://a.org/"), "id").alias("originalUrl"), F.lit("20240101000000").alias("timestamp"), F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n" + page), F.col("id").cast("string")).cast("binary").alias("content"))
+    assert warc.save(Archive(rows, ["originalUrl", "timestamp"], root_func=HttpPayload()), str(tmp_path / "w")) == 40
+    [name] = [n for n in os.listdir(tmp_path / "w") if n.endswith(".warc.gz") and n[0] != "."]
+    batches = [*warc._Reader({"path": str(tmp_path / "w")}).read(warc._File(str(tmp_path / "w" / name)))]
+    assert len(batches) > 5 and max(b.nbytes for b in batches) < 1_600_000 and sum(b.num_rows for b in batches) == 40
+    for a in (warc.from_files(spark, str(tmp_path / "w"), Config(text_limit=0)), warc.from_files_with_cdx(spark, str(tmp_path / "w"), Config(text_limit=0))):
+        got = a.select("originalUrl", s=StringContent(limit=0)).collect()
+        assert sorted(r.originalUrl for r in got) == sorted(f"http://a.org/{i}" for i in range(40)) and all(r.s == page + r.originalUrl[13:] for r in got)
+
+
 def test_same_name_twice(spark, folder):
     os.makedirs(f"{folder}/sub")
     with open(f"{folder}/sub/two.warc.gz", "wb") as f:

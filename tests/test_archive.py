@@ -188,3 +188,19 @@ def test_plan_prunes_and_pushes(spark, pages, tmp_path):
     assert "EqualTo(page_id,1)]" in late.df._jdf.queryExecution().toString() and [r.t for r in late.select(t=TITLE).collect()] == ["One & only"]
     bare = a.df.select("originalUrl")._jdf.queryExecution().sparkPlan().toString()
     assert "html" not in bare.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("func", [HtmlText().of(Html.first("body"))], ids=["title_text_tsv"])
+def test_a_batch_is_handed_back_in_slices(spark, monkeypatch, func):
+    import pyarrow as pa
+
+    runs, real = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: runs.append(f) or real(f, kind))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    Archive.of_pages(spark.createDataFrame(PAGES, "page_id int, url string, html string")).select("page_id", x=func)
+    assert int(spark.conf.get(name)) == 1000
+    first = runs[0]
+    page = "<body>" + "y" * 10_000 + "<a href='/z'>z</a></body>"
+    parts = [*first(iter([pa.array([page] * 3000), pa.array([], pa.string())]))]
+    assert len(parts) > 20 and sum(map(len, parts)) == 3000 and max(p.nbytes for p in parts) < 1_200_000

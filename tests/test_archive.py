@@ -190,7 +190,7 @@ def test_plan_prunes_and_pushes(spark, pages, tmp_path):
     assert "html" not in bare.split("ReadSchema")[1]
 
 
-@pytest.mark.parametrize("func", [HtmlText().of(Html.first("body")), HtmlText()], ids=["title_text_tsv", "body_text"])
+@pytest.mark.parametrize("func", [HtmlText().of(Html.first("body")), HtmlText(), SURT().of(HREF)], ids=["title_text_tsv", "body_text", "surt_links"])
 def test_a_batch_is_handed_back_in_slices(spark, monkeypatch, func):
     import pyarrow as pa
 
